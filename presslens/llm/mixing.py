@@ -28,7 +28,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], ceiling: float) -> DataF
     t = sizes.withColumn("weight", turn).withColumn("most", F.lit(float(ceiling)) * F.col("source_size")).withColumn("bound", F.col("most") / F.col("weight"))
     t = t.withColumn("level", (F.sum(F.col("source_size").cast("double")).over(whole) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
     # the first source, by bound, that stays below its ceiling sets the level of all after it
-    level = F.min(F.when(F.col("level") <= F.col("bound"), F.struct("bound", "level"))).over(whole)["level"]
+    t = t.withColumn("turn", F.row_number().over(by_bound))
+    level = F.min(F.when(F.col("level") <= F.col("bound"), F.struct("turn", "level"))).over(whole)["level"]
     return t.withColumn("level", level).withColumn("target", F.round(F.least(F.col("most"), F.coalesce(F.col("level") * F.col("weight"), F.col("most"))), DECIMALS)).select("source", "source_size", "target")
 
 
@@ -96,7 +97,7 @@ def draw_sql(weights: tuple[int, ...] = (5, 2, 1), ceiling: float = 3.0, seed: s
         w AS (SELECT *, [{turns}][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} AS INTEGER) + 1] AS weight, {float(ceiling)!r} * source_size AS most FROM s),
         l AS (SELECT *, most / weight AS bound, (sum(CAST(source_size AS DOUBLE)) OVER () - coalesce(sum(most) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
               FROM w WINDOW b AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-        f AS (SELECT first(level ORDER BY bound) AS level FROM l WHERE level <= bound),
+        f AS (SELECT first(level ORDER BY bound, source NULLS LAST) AS level FROM l WHERE level <= bound),
         t AS (SELECT source, source_size, round(least(most, coalesce((SELECT level FROM f) * weight, most)), {DECIMALS}) AS target FROM l),
         c AS (SELECT source, class, CAST(ceil(count(*) / {float(cell)!r}) AS BIGINT) AS cells FROM e GROUP BY source, class),
         r AS (SELECT e.doc_id, e.size, t.source_size, t.target, e.source,
