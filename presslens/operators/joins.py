@@ -16,6 +16,13 @@ def lookup(df: DataFrame, key: str, table: DataFrame, table_key: str, value: str
     return out if default is None else out.withColumn(value, F.coalesce(value, F.lit(default)))
 
 
+def few(df: DataFrame, most: int) -> DataFrame:
+    """df for broadcast, after its rows have been counted: more than ``most`` is an error, since every task would hold them and try each."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows to try for each row")
+    return F.broadcast(df)
+
+
 def compare(before: DataFrame, after: DataFrame, on: str) -> DataFrame:
     """Both tables side by side, columns suffixed _before and _after."""
     side = lambda df, s: df.select(on, *[F.col(c).alias(f"{c}_{s}") for c in df.columns if c != on])
@@ -25,7 +32,7 @@ def compare(before: DataFrame, after: DataFrame, on: str) -> DataFrame:
 def matching_mentions(mentions: DataFrame, targets: DataFrame, text: str, pattern: str, *keys: str) -> DataFrame:
     """(keys, person) for clusters of which a mention matches a person's pattern. The patterns are few and go to every task; each is tried within the mention's row."""
     hit = F.rlike(F.col(text), F.concat(F.lit("(?i)"), F.col(pattern)))
-    return mentions.join(targets, hit).select(*keys, "person").distinct()
+    return mentions.join(few(targets, 10_000), hit).select(*keys, "person").distinct()
 
 
 def fuzzy_best(names: DataFrame, name: str, known: DataFrame, known_name: str, threshold: float = 85.0) -> DataFrame:

@@ -11,7 +11,7 @@ from presslens.functions.values import any_timestamp, iso, stamp
 from presslens.operators.aggregates import agreement, breakdown, cap_sweep, describe, group_count, term_totals
 from presslens.operators.dedupe import keep_first
 from presslens.operators.filters import year_or_fallback
-from presslens.operators.joins import compare, count_names
+from presslens.operators.joins import compare, count_names, few
 from presslens.operators.sampling import cap, sample
 
 #: Words that tell a gender.
@@ -76,7 +76,7 @@ def labelling_sheet(docs: DataFrame, text: str, key: str, n: int, seed: int = 42
 def nearest_topic(vectors: DataFrame, centroids: DataFrame, key: str, vector: str, most: float | None = None) -> DataFrame:
     """(key, topic_id, distance): the nearest centroid (topic_id, c), which are few; farther than ``most`` is the outlier -1."""
     d = F.sqrt(F.aggregate(F.zip_with(vector, "c", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x))
-    best = vectors.select(key, vector).crossJoin(F.broadcast(centroids.limit(1000))).groupBy(key).agg(F.min(F.struct(d.alias("distance"), F.col("topic_id").alias("topic_id"))).alias("b"))
+    best = vectors.select(key, vector).crossJoin(few(centroids, 10_000)).groupBy(key).agg(F.min(F.struct(d.alias("distance"), F.col("topic_id").alias("topic_id"))).alias("b"))
     topic = F.when(F.col("b.distance") > most, -1).otherwise(F.col("b.topic_id")) if most is not None else F.col("b.topic_id")
     return best.select(key, topic.alias("topic_id"), F.col("b.distance").alias("distance"))
 

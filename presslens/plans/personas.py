@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from presslens.functions.text import persona_name, pronoun
 from presslens.operators.filters import NO_PERSONA
-from presslens.operators.joins import without_overlap
+from presslens.operators.joins import few, without_overlap
 from presslens.operators.sampling import resamples
 from presslens.schema import require
 
@@ -39,7 +39,7 @@ def label_lexicon(table: DataFrame, dimension: str, seq: str | None = None) -> D
 def pattern_events(chunks: DataFrame, patterns: DataFrame) -> DataFrame:
     """(doc_id, persona, role, verb, surface) of subject and object chunks that match a persona's pattern."""
     c = chunks.where(F.col("root_dep").isin("nsubj", "dobj"))
-    return c.join(F.broadcast(patterns.limit(10_000)), F.rlike(F.lower("text"), F.col("pattern"))).select("doc_id", "persona", F.col("root_dep").alias("role"), F.lower("head_lemma").alias("verb"), F.lower("text").alias("surface"))
+    return c.join(few(patterns, 10_000), F.rlike(F.lower("text"), F.col("pattern"))).select("doc_id", "persona", F.col("root_dep").alias("role"), F.lower("head_lemma").alias("verb"), F.lower("text").alias("surface"))
 
 
 def cluster_names(coref: DataFrame) -> DataFrame:

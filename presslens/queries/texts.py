@@ -177,25 +177,25 @@ def moral_by_gender(spark, d):
     return w.select("topic", "male_total", F.round("male_valence_mean", 6).alias("male_valence_mean"), "female_total", F.round("female_valence_mean", 6).alias("female_valence_mean"))
 
 
-EMFD = [("the", 0.5, 0.1, 0.1, 0.2, 0.1, 0.4, -0.2, 0.1, 0.0, -0.3), ("of", 0.1, 0.6, 0.1, 0.1, 0.1, -0.4, 0.2, 0.1, 0.5, 0.3), ("le", 0.2, 0.2, 0.3, 0.2, 0.1, 0.1, 0.1, -0.1, 0.2, 0.2)]
-EMFD_NAMES = ", ".join([*[f"{f}_p" for f in frames.FOUNDATIONS], *[f"{f}_sent" for f in frames.FOUNDATIONS]])
+WEIGHTED = [("the", 0.5, 0.1, 0.1, 0.2, 0.1, 0.4, -0.2, 0.1, 0.0, -0.3), ("of", 0.1, 0.6, 0.1, 0.1, 0.1, -0.4, 0.2, 0.1, 0.5, 0.3), ("le", 0.2, 0.2, 0.3, 0.2, 0.1, 0.1, 0.1, -0.1, 0.2, 0.2)]
+WEIGHTED_NAMES = ", ".join([*[f"{f}_p" for f in frames.FOUNDATIONS], *[f"{f}_sent" for f in frames.FOUNDATIONS]])
 
 
 @query("dom05b_word_probabilities", rf"""
-    WITH {named(EMFD, "dict", "word, " + EMFD_NAMES)}, w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS word FROM documents),
+    WITH {named(WEIGHTED, "dict", "word, " + WEIGHTED_NAMES)}, w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS word FROM documents),
     m AS (SELECT doc_id, count(*) AS moral_words, {", ".join(f"avg({f}_p::DOUBLE) AS p{i}, avg({f}_sent::DOUBLE) AS s{i}" for i, f in enumerate(frames.FOUNDATIONS))} FROM w JOIN dict USING (word) GROUP BY doc_id)
     SELECT doc_id, moral_words, round(p0, 6) AS care_p, round(s0, 6) + 0.0 AS care_sent, round(list_var_samp([p0, p1, p2, p3, p4]), 4) AS f_var, round(list_var_samp([s0, s1, s2, s3, s4]), 4) AS sent_var FROM m""")
 def word_probabilities(spark, d):
-    dictionary = constant(spark, EMFD, "word, " + EMFD_NAMES, "string" + ", double" * 10)
+    dictionary = constant(spark, WEIGHTED, "word, " + WEIGHTED_NAMES, "string" + ", double" * 10)
     x = frames.word_probabilities(table(spark, d, "documents"), "doc_id", "text", dictionary)
     return x.select("doc_id", "moral_words", *[(F.round(c, n) + F.lit(0.0)).alias(c) for c, n in (("care_p", 6), ("care_sent", 6), ("f_var", 4), ("sent_var", 4))])
 
 
 @query("dom05b_single_vice_virtue", rf"""
-    WITH {named(EMFD, "dict", "word, " + EMFD_NAMES)}, w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS word FROM documents)
+    WITH {named(WEIGHTED, "dict", "word, " + WEIGHTED_NAMES)}, w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS word FROM documents)
     SELECT doc_id, count(*) AS moral_words, round(avg(CASE WHEN care_sent > 0 AND care_p >= greatest(fairness_p, loyalty_p, authority_p, sanctity_p) THEN care_p::DOUBLE ELSE 0 END), 6) AS care_virtue, round(avg(CASE WHEN fairness_sent > 0 AND fairness_p > care_p AND fairness_p >= greatest(loyalty_p, authority_p, sanctity_p) THEN fairness_p::DOUBLE ELSE 0 END), 6) AS fairness_virtue FROM w JOIN dict USING (word) GROUP BY doc_id""")
 def single_vice_virtue(spark, d):
-    dictionary = constant(spark, EMFD, "word, " + EMFD_NAMES, "string" + ", double" * 10)
+    dictionary = constant(spark, WEIGHTED, "word, " + WEIGHTED_NAMES, "string" + ", double" * 10)
     x = frames.word_probabilities(table(spark, d, "documents"), "doc_id", "text", dictionary, single=True, vice_virtue=True)
     return x.select("doc_id", "moral_words", F.round("care_virtue", 6).alias("care_virtue"), F.round("fairness_virtue", 6).alias("fairness_virtue"))
 
