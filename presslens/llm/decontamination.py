@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Items of the benchmark that are held, sent and searched for at once; more go through the documents in further blocks.
 BLOCK = 20_000
+#: Words whose numbers a worker remembers; beyond it the memory starts anew.
+REMEMBERED = 1_000_000
 #: Windows of one text that are fingerprinted at once.
 AT_ONCE = 2048
 
@@ -62,30 +64,58 @@ class Index:
                 self.bags.append(bag)
         self.known = {w for s in first for w in s.split(" ")}
         self.number = {w: n + 1 for n, w in enumerate(sorted(self.known))}
-        # the codes of all items whose shingles have that many words
-        self.codes = {width: np.unique(np.array([self._code(s) for s, at in first.items() if any(min(k, n) == width for n in at)], np.uint64)) for width in {min(k, n) for n in self.by_size}}
+        #: For each number of words in a shingle: its codes, and for each size of an item the codes of such items.
+        self.codes: dict[int, np.ndarray] = {}
+        self.codes_of: dict[int, np.ndarray] = {}
+        for n in self.by_size:
+            self.codes_of[n] = np.unique(np.array([self._code(s) for s, at in first.items() if n in at], np.uint64))
+        for width in {min(k, n) for n in self.by_size}:
+            self.codes[width] = np.unique(np.concatenate([c for n, c in self.codes_of.items() if min(k, n) == width]))
         self.fp = {n: np.array([fingerprint(self.bags[i]) for i in at], np.uint64) for n, at in self.by_size.items()}
-        # near[n][b, v]: the items of size n, as bits, whose block b is within the slack of the value v
-        self.blocks = {n: [self._probe((fp >> np.uint64(8 * b)) & np.uint64(255)) for b in range(8)] for n, fp in self.fp.items()}
+        # blocks[n][b][v]: for each item of size n whether its block b is within the slack of the value v
+        values = np.arange(256, dtype=np.uint64)[:, None]
+        self.blocks = {n: [np.bitwise_count(((fp >> np.uint64(8 * b)) & np.uint64(255))[None, :] ^ values) <= self.slack for b in range(8)] for n, fp in self.fp.items()}
+        self.numbers = _Numbers(self.number)
 
     def _code(self, s: str) -> int:
-        return int(rolling(np.array([self.number[w] for w in s.split(" ")], np.uint64), len(s.split(" ")))[0])
+        words = s.split(" ")
+        return int(rolling(np.array([self.number[w] for w in words], np.uint64), len(words))[0])
 
-    def _probe(self, values: np.ndarray) -> list[np.ndarray]:
-        return [np.flatnonzero(np.bitwise_count(values ^ np.uint64(v)) <= self.slack) for v in range(256)]
+    def candidates(self, n: int, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) positions of the items of size n within the radius of each fingerprint: those that some block's table has, and that the distance confirms."""
+        met = np.zeros((len(fps), len(self.fp[n])), bool)
+        for b in range(8):
+            met |= self.blocks[n][b][((fps >> np.uint64(8 * b)) & np.uint64(255)).astype(np.int64)]
+        window, item = np.nonzero(met)
+        near = np.bitwise_count(self.fp[n][item] ^ fps[window]) <= self.radius
+        return window[near], np.array(self.by_size[n])[item[near]]
 
-    def candidates(self, n: int, fp: int) -> np.ndarray:
-        """Positions of the items of size n within the radius of fp: those that some block's table has, and that the distance confirms."""
-        found = np.unique(np.concatenate([self.blocks[n][b][(fp >> (8 * b)) & 255] for b in range(8)]))
-        near = found[np.bitwise_count(self.fp[n][found] ^ np.uint64(fp)) <= self.radius]
-        return np.array(self.by_size[n])[near]
 
+class _Numbers(dict):
+    """The number of a raw lower-case word: that of the word without the punctuation around it, 0 if no item has it, -1 if nothing is left."""
 
-def rolling(numbers: np.ndarray, k: int) -> np.ndarray:
-    """A number for every k consecutive word numbers (modulo 2^64); equal runs have equal numbers."""
-    out = np.zeros(max(0, len(numbers) - k + 1), np.uint64)
+    def __init__(self, number: dict[str, int]) -> None:
+        self.number = number
+
+    def __missing__(self, raw: str) -> int:
+        if len(self) > REMEMBERED:
+            self.clear()
+        word = raw.strip(EDGES)
+        n = self[raw] = self.number.get(word, 0) if word else -1
+        return n
+
+
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the known ones, which are sorted."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def rolling(numbers: np.ndarray, k: int, at: np.ndarray | None = None) -> np.ndarray:
+    """A number for the k word numbers from each place on (modulo 2^64); equal runs have equal numbers."""
+    at = np.arange(max(0, len(numbers) - k + 1)) if at is None else at
+    out = np.zeros(len(at), np.uint64)
     for j in range(k):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + numbers[j : len(numbers) - k + 1 + j] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)
+        out = out * np.uint64(0x9E3779B97F4A7C15) + numbers[at + j] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)
     return out
 
 
@@ -111,31 +141,44 @@ def find(text: str | None, index: Index, similarity: float) -> dict[int, tuple[f
     For every size n of an item the windows are the runs of n words (the whole text if it is shorter). A window that shares no shingle with any item has similarity zero to all
     and is passed over before its fingerprint is made; all others are fingerprinted, looked up, and verified exactly.
     """
-    words = words_of(text)
     found: dict[int, tuple[float, int]] = {}
-    get = index.number.get
-    numbers = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
-    if not numbers.any():
-        return found
-    hits: dict[int, np.ndarray] = {}
+    numbers = np.fromiter(map(index.numbers.__getitem__, (text or "").lower().split()), np.int64)
+    numbers = numbers[numbers >= 0].astype(np.uint64)
+    length = len(numbers)
+    known = np.concatenate(([0], np.cumsum(numbers > 0)))
+    hits: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by the words in a shingle: where a shingle of an item may start, and its code
     for width, codes in index.codes.items():
-        at = rolling(numbers, min(width, len(words)))
-        hits[width] = np.flatnonzero(np.isin(at, codes))
+        at = np.flatnonzero(known[width:] - known[:-width] == width) if length >= width else np.empty(0, np.int64)
+        if len(at):
+            code = rolling(numbers, width, at)
+            mine = among(code, codes)
+            at, code = at[mine], code[mine]
+        if len(at):
+            hits[width] = at, code
+    if not hits:
+        return found
+    words = words_of(text)
     for n in index.by_size:
         k = min(index.k, n)
-        size = min(n, len(words))
-        if len(words) < k or not len(hits[k]):
+        if k not in hits:
             continue
+        at, code = hits[k]
+        at = at[among(code, index.codes_of[n])]
+        size = min(n, length)
         per = size - k + 1  # shingles of a window
-        last = len(words) - size
-        starts = np.unique(np.clip(np.add.outer(hits[k], -np.arange(per)), 0, last).ravel()) if len(hits[k]) * per < 8 * len(words) else np.arange(last + 1)
+        last = length - size
+        mark = np.zeros(last + 2, np.int64)  # windows that hold a hit: starts from hit - per + 1 to hit
+        np.add.at(mark, np.clip(at - per + 1, 0, last + 1), 1)
+        np.add.at(mark, np.clip(at + 1, 0, last + 1), -1)
+        starts = np.flatnonzero(np.cumsum(mark)[: last + 1] > 0)
         for lo in range(0, len(starts), AT_ONCE):
             some = starts[lo : lo + AT_ONCE]
-            base = int(some[0])
-            run = words[base : int(some[-1]) + size]
-            hashes = np.array([_hash(run[i : i + k]) for i in range(len(run) - k + 1)], np.uint64)
-            for start, fp in zip(some.tolist(), window_fingerprints(hashes, some - base, per).tolist(), strict=True):
-                for i in index.candidates(n, fp).tolist():
+            for run in np.split(some, np.flatnonzero(np.diff(some) > size) + 1):  # stretches that overlap
+                base = int(run[0])
+                stretch = words[base : int(run[-1]) + size]
+                hashes = np.array([_hash(stretch[i : i + k]) for i in range(len(stretch) - k + 1)], np.uint64)
+                for w, i in zip(*(x.tolist() for x in index.candidates(n, window_fingerprints(hashes, run - base, per))), strict=True):
+                    start = int(run[w])
                     s = weighted_similarity(index.bags[i], Counter(shingles(words[start : start + size], k)))
                     if s >= similarity and s > found.get(i, (0.0, 0))[0]:
                         found[i] = (s, start)
