@@ -127,7 +127,9 @@ def edit_links(keyed: DataFrame, lines: DataFrame, threshold: int = 2) -> DataFr
     texts = cut(texts.groupBy("key").agg(F.first("line").alias("line")))
     left, right = (texts.select(F.col("key").alias(k), F.col("line").alias(f"line_{k}"), F.length("line").alias(f"n_{k}")) for k in "ab")
     pairs = met.join(left, "a").join(right, "b").where("n_a < n_b OR n_a = n_b AND a < b").where(F.col("n_b") - F.col("n_a") <= threshold)
-    return pairs.where(banded_distance(F.col("line_a"), F.col("line_b"), threshold) <= threshold).select("a", "b")
+    # Spark's compiled banded distance discards nearly all pairs of lines that share a segment by chance; the bit vectors, as interpreted expressions, verify what is left
+    alike = pairs.where(F.levenshtein("line_a", "line_b", threshold) >= 0)
+    return alike.where(banded_distance(F.col("line_a"), F.col("line_b"), threshold) <= threshold).select("a", "b")
 
 
 def dedup_lines(docs: DataFrame, threshold: int = 2, least: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
