@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from presslens.llm.common import WORD
+from presslens.llm.common import WORD, cut
 
 #: Decimals of the targets, so that sums in another order give the same draws.
 DECIMALS = 6
@@ -58,16 +58,20 @@ def draw(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), ceiling: float =
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
     d = docs.select(*own).withColumn("size", words(F.col(text_col))).withColumn("_hash", _digest(F.lit(seed), F.col(id_col).cast("string")))
     d = d.withColumn("_class", place(F.col("size"), F.col("_hash")))
-    by_class = d.groupBy(F.col(source_col).alias("source"), F.col("_class").alias("_c")).agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_words"))
+    narrow = cut(d.select(F.col(source_col).alias("source"), F.col("_class").alias("_c"), "_hash", "size"))  # the texts are read once for the counts, once for the rows
+    by_class = narrow.groupBy("source", "_c").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_words"))
+    by_class = cut(by_class)
     wanted = targets(by_class.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, ceiling).withColumnRenamed("source", "_t")
     earlier = Window.partitionBy("source").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
     classes = by_class.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).withColumn("_cells", F.ceil(F.col("_n") / F.lit(float(cell))).cast("long"))
     classes = classes.join(wanted, F.col("source").eqNullSafe(F.col("_t"))).select(F.col("source").alias("_s"), "_c", "_before", "_cells", "source_size", "target")
-    dealt = d.join(classes, F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_class") == F.col("_c"))).drop("_c")
-    dealt = dealt.withColumn("_cell", F.pmod("_hash", F.col("_cells")))
+    classes = cut(classes)
+    in_class = F.col("source").eqNullSafe(F.col("_s")) & (F.col("_n") == F.col("_c"))
     earlier = Window.partitionBy("_ks", "_kc").orderBy("_kb").rowsBetween(Window.unboundedPreceding, -1)
-    cells = dealt.groupBy(F.col("_s").alias("_ks"), F.col("_class").alias("_kc"), F.col("_cell").alias("_kb")).agg(F.count(F.lit(1)).alias("_m"))
+    cells = narrow.withColumnRenamed("_c", "_n").join(classes, in_class).groupBy(F.col("_s").alias("_ks"), F.col("_c").alias("_kc"), F.pmod("_hash", F.col("_cells")).alias("_kb")).agg(F.count(F.lit(1)).alias("_m"))
     cells = cells.withColumn("_skip", F.coalesce(F.sum("_m").over(earlier), F.lit(0))).drop("_m")
+    dealt = d.join(classes, F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_class") == F.col("_c"))).drop("_c")
+    dealt = dealt.withColumn("_cell", F.pmod("_hash", F.col("_cells")))
     placed = dealt.join(cells, F.col("_s").eqNullSafe(F.col("_ks")) & (F.col("_class") == F.col("_kc")) & (F.col("_cell") == F.col("_kb")))
     inside = Window.partitionBy("_s", "_class", "_cell").orderBy("_hash", F.col(id_col).asc_nulls_first())
     rank = (F.col("_before") + F.col("_skip") + F.row_number().over(inside)).cast("double")
