@@ -220,13 +220,16 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, seed: int = 42
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each group: that with the smallest doc_id, and of rows that repeat that id the first by content. Rows without a doc_id stay."""
+def keep_smallest(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with one document of each group of found (doc_id, component_id): that with the smallest doc_id, and of rows that repeat that id the first by content. Rows without a doc_id stay."""
     from pyspark.sql import Window
 
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    found = near_duplicates(docs, **options)
     keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
     order = Window.partitionBy("_keep").orderBy(F.xxhash64(text_col), F.col(text_col))
     named = docs.join(keep, F.col(id_col) == F.col("_keep")).withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row", "_keep")
     return named.unionByName(docs.where(F.col(id_col).isNull()))
+
+
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """docs with one document of each group of near_duplicates(), see keep_smallest()."""
+    return keep_smallest(docs, near_duplicates(docs, **options), options.get("id_col", "doc_id"), options.get("text_col", "text"))
