@@ -109,9 +109,10 @@ def occurrences(docs: DataFrame, least: int, id_col: str, text_col: str) -> Data
     return rows.withColumn("line", normal_line(F.col("line"))).where(F.length("line") >= least)
 
 
-def keyed_lines(lines: DataFrame, threshold: int) -> DataFrame:
-    """lines (column line) with key, the line's hash, entries and probes."""
-    return lines.withColumn("key", F.xxhash64("line")).withColumn("entries", index_entries(F.col("line"), threshold)).withColumn("probes", probes(F.col("line"), threshold))
+def keyed_lines(lines: DataFrame, threshold: int, least: int = 0) -> DataFrame:
+    """lines (column line) with key, the line's hash, entries and probes; these two are null for lines of fewer than ``least`` characters, which meet none by edits."""
+    long = lambda hashes: F.when(F.length("line") >= least, hashes)
+    return lines.withColumn("key", F.xxhash64("line")).withColumn("entries", long(index_entries(F.col("line"), threshold))).withColumn("probes", long(probes(F.col("line"), threshold)))
 
 
 def edit_links(keyed: DataFrame, lines: DataFrame, threshold: int = 2) -> DataFrame:
@@ -132,18 +133,18 @@ def edit_links(keyed: DataFrame, lines: DataFrame, threshold: int = 2) -> DataFr
     return alike.where(banded_distance(F.col("line_a"), F.col("line_b"), threshold) <= threshold).select("a", "b")
 
 
-def dedup_lines(docs: DataFrame, threshold: int = 2, least: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: int = 2, least: int = 16, id_col: str = "doc_id", text_col: str = "text", equal: int | None = None) -> DataFrame:
     """docs with n_lines, removed (numbers of the removed lines, from 0, in order) and, in place of the text, the text without them.
 
     Runs of white space count as one space. Two lines link if they are equal or their edit distance is at most threshold; of all lines reachable by links only the first stays, by doc_id (null first) and line number.
-    Lines of fewer than ``least`` characters always stay. A line that a third of the documents hold is one row of the join, and its first place a grouped minimum. Null texts stay null, with no lines; empty ones have one, empty.
+    Lines of fewer than ``least`` characters link by equality alone if they have ``equal`` characters or more, else (or if equal is None) they always stay. A line that a third of the documents hold is one row of the join, and its first place a grouped minimum. Null texts stay null, with no lines; empty ones have one, empty.
     Rows that repeat a document are the same document and keep the same lines. Columns of docs with the new names are replaced.
     """
     docs = docs.drop("n_lines", "removed")
     own = docs.columns
     text = F.col(text_col).cast("string")
-    found = occurrences(docs, least, id_col, text_col)
-    places = cut(keyed_lines(found, threshold).drop("line"))
+    found = occurrences(docs, least if equal is None else min(least, equal), id_col, text_col)
+    places = cut(keyed_lines(found, threshold, least).drop("line"))
     links = edit_links(places, found, threshold)
     places = places.select("doc_id", "row", "at", "key")
     first = places.groupBy("key").agg(F.min(F.struct("doc_id", "row", "at")).alias("first"), F.count(F.lit(1)).alias("n"))

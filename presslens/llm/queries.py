@@ -69,7 +69,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), equal=1)
     return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
 
 
