@@ -38,12 +38,14 @@ def matching_mentions(mentions: DataFrame, targets: DataFrame, text: str, patter
 def fuzzy_best(names: DataFrame, name: str, known: DataFrame, known_name: str, threshold: float = 85.0) -> DataFrame:
     """Each name with the most alike known one at or above the threshold; of equals the first by name.
 
-    Names meet only if one of the first letters of their words is equal: the ratio asks for less than one edit in six characters, so that a name of two words or more shares the first letter of one of them, and so do single words but for an edit of that letter.
+    Names are tried with every known one of a length that allows the threshold, since the edit distance is at least the difference in length.
+    That is exact, at the price of a comparison for each such pair: the known names are meant to be few.
     """
-    initials = lambda c: F.array_distinct(F.transform(F.split(squeeze(F.col(c), lower=True), " "), lambda w: F.substring(w, 1, 1)))
-    a = names.select(name).distinct().withColumn("_i", F.explode(initials(name)))
-    b = known.select(F.col(known_name).alias("_known")).distinct().withColumn("_j", F.explode(initials("_known")))
-    pairs = a.join(b, F.col("_i") == F.col("_j")).select(name, "_known").distinct().withColumn("score", token_sort_ratio(F.col(name), F.col("_known"))).where(F.col("score") >= threshold)
+    length = lambda c: F.length(squeeze(F.col(c)))
+    a = names.select(name).distinct().withColumn("_n", length(name))
+    b = known.select(F.col(known_name).alias("_known")).distinct().withColumn("_m", length("_known"))
+    near = F.least("_n", "_m") * 100.0 >= F.greatest("_n", "_m") * F.lit(float(threshold)) - 1e-6
+    pairs = a.join(b, near).select(name, "_known").withColumn("score", token_sort_ratio(F.col(name), F.col("_known"))).where(F.col("score") >= threshold)
     best = pairs.groupBy(name).agg(F.min(F.struct(-F.col("score"), F.col("_known").alias("known"))).alias("b"))
     return best.select(name, F.col("b.known").alias("match"), F.round(-F.col("b.col1"), 6).alias("score"))
 
