@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,23 +12,56 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: The folders that stored() and folder() made, by application, for clean().
+_made: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. The session names it in spark.checkpoint.dir; only where that is unset (tests on one machine) a folder of our own is used."""
+    """The folder that driver and executors share: the session names it in spark.checkpoint.dir. Only on one machine, as in tests, it may be unset; a folder of our own is used then."""
     sc = spark.sparkContext
     at = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="presslens-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
     return at
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which clean() removes."""
+    at = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(at)
+    return at
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove the tables and folders made by stored() and folder() in this application. Call it when the results have been read: they are read from there."""
+    jvm = spark.sparkContext._jvm
+    for at in _made.pop(spark.sparkContext.applicationId, []):
+        path = jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared folder: later reads survive the loss of any executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as cut() gives it, but as a compressed table: smaller, and readers take only the columns they need."""
+    at = folder(df.sparkSession, "table")
+    df.write.option("compression", "zstd").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def few(keys: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """keys, to be broadcast if its rows, of a few numbers each, are counted and at most so many; joined by a shuffle if not."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def split_hot(df: DataFrame, keys: list[str], row: Column, most: int) -> DataFrame:
     """Deal the rows of each key to tasks of at most about 2 * most rows such that any two rows of a key meet in exactly one task.
 

@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import combinations, product
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from presslens.llm.common import cut
+from presslens.llm.common import few, stored
 from presslens.llm.components import connected_components
 
-#: Up to so many keys (8 bytes each) are broadcast; beyond it the lines are joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
+#: A signature under which more pairs of lines than this would meet is replaced by signatures of more segments.
+HOT = 1024
+#: Segments a line is cut into beyond the threshold, level by level.
+FINER = (1, 6)
+#: With how many lines of a signature that stays hot the others are tried, round by round, before those still apart are tried with each other.
+LEADERS = (4, 64)
+#: Pairs that a task verifies.
+PAIRS = 1000
+#: Up to so many numbers of lines to remove are broadcast; beyond it the texts are joined by a shuffle.
+REMOVED = 4_000_000
+#: Lines that occur more often than this, and than one in COMMON_SHARE of all, are entered once. The others' repeats cost less than looking for them.
+COMMON, COMMON_SHARE = 64, 100_000
 
 
 def lines_of(text: Column) -> Column:
@@ -18,42 +30,118 @@ def lines_of(text: Column) -> Column:
 
 def normal_line(line: Column) -> Column:
     """What is compared: white space as one space and none at the ends. Case counts."""
-    odd = line.rlike(r"[\x09\x0B-\x0D]|\x20\x20")  # few lines are: rewriting all of them costs more than the search
+    odd = None
+    for c in ("\t", "\x0b", "\x0c", "\r", "  "):  # few lines are: rewriting all of them costs more than the search
+        odd = line.contains(c) if odd is None else odd | line.contains(c)
     return F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line))
 
 
-def _hashes(line: Column, threshold: int, less: int, moves: list[tuple[int, int]]) -> Column:
-    """For each (i, move) the hash of segment i of a line that is shorter by less, read ``move`` to the right. Where the line has no such place it is the hash of something else, which verification discards.
+def patterns(parts: int, threshold: int) -> list[tuple[int, int, list[tuple[int, int, int]]]]:
+    """(less, hole, pieces): the ways to read a line of ``parts`` segments with ``threshold`` of them left out.
 
-    A small expression over an array of moves: written out move by move it would be too large a method for the compiler.
+    Edits are at most threshold, so some choice of that many segments (hole numbers the choices) covers all edits between a line and its partner, and the text between the
+    segments left out is the same in both. A piece (from, to, move) is the segments from..to - 1 of a partner that is shorter by less, read ``move`` characters to the right. Across left-out segments that lie
+    side by side the move changes by at most their number; past the last ones it is less. With no move at all a line reads itself.
     """
-    parts = threshold + 1
-    spec = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(move).alias("move")) for i, move in moves])
-
-    def one(n: Column, x: Column) -> Column:
-        # even segments, the longer ones last
-        at = x["i"] * n["base"] + F.greatest(x["i"] - n["shorter"], F.lit(0)) + x["move"]
-        size = n["base"] + F.when(x["i"] >= n["shorter"], 1).otherwise(0)
-        return F.xxhash64(n["m"], x["i"], F.substring(line, at + 1, size))
-
-    m = F.length(line) - less
-    n = F.struct(m.alias("m"), F.floor(m / F.lit(parts)).cast("int").alias("base"), (F.lit(parts) - F.pmod(m, F.lit(parts))).alias("shorter"))
-    return let(n, lambda n: F.transform(spec, lambda x: one(n, x)))
-
-
-def index_entries(line: Column, threshold: int) -> Column:
-    """The hashes under which a line is found: of its length, a segment's number and the segment."""
-    return _hashes(line, threshold, 0, [(i, 0) for i in range(threshold + 1)])
-
-
-def probes(line: Column, threshold: int) -> Column:
-    """The hashes under which a line looks for partners of its own length and of up to threshold characters less.
-
-    Of a partner's threshold + 1 segments one is unchanged in the line. Segment i has moved by at most i, and by so little that the edits
-    left over can make up for the rest of the difference in length.
+    out = []
+    for hole, gone in enumerate(combinations(range(parts), threshold)):
+        blocks: list[list[int]] = []
+        for i in gone:
+            if blocks and blocks[-1][1] == i:
+                blocks[-1][1] += 1
+            else:
+                blocks.append([i, i + 1])
+        edges = [0, *(e for b in blocks for e in b), parts]
+        texts = list(zip(edges[::2], edges[1::2], strict=True))  # before, between and after the blocks; maybe empty at the ends
+        steps = [range(-(b - a), b - a + 1) for a, b in blocks]
+        for less in range(threshold + 1):
+            seen = set()
+            for step in product(*steps):
+                if sum(step) == less:
+                    moves = [sum(step[:k]) for k in range(len(step) + 1)]
+                    seen.add(tuple((a, b, m) for (a, b), m in zip(texts, moves, strict=True) if a < b))
+            out += [(less, hole, list(pieces)) for pieces in sorted(seen)]
+    return out
+
+
+def signatures(lines: DataFrame, parts: int, threshold: int, least: int) -> DataFrame:
+    """(token, k1, entry) for the lines (k1, line) of at least ``least`` characters: two lines within the threshold share a token that is an entry (entry = 1: the line read as it is) of the shorter one."""
+    ways = patterns(parts, threshold)
+    most = max(len(p) for _, _, p in ways)
+    fields = ["less", "hole", "entry", *(f"{c}{i}" for i in range(most) for c in "abm")]
+    rows = [(less, hole, int(less == 0 and not any(m for _, _, m in p)), *(x for piece in [*p, *[(0, 0, 0)] * (most - len(p))] for x in piece)) for less, hole, p in ways]
+    spec = F.array(*[F.struct(*[F.lit(v).alias(f) for f, v in zip(fields, r, strict=True)]) for r in rows])
+    x, size = F.col("x"), F.col("size")
+    base, shorter = F.floor(size / F.lit(parts)).cast("int"), F.lit(parts) - F.pmod(size, F.lit(parts))
+    edge = lambda i: i * base + F.greatest(i - shorter, F.lit(0))  # noqa: E731  even segments, the longer ones last
+    pieces = [F.substring(F.col("line"), edge(x[f"a{i}"]) + x[f"m{i}"] + 1, edge(x[f"b{i}"]) - edge(x[f"a{i}"])) for i in range(most)]
+    long = lines.select("k1", "line", F.length("line").alias("n")).where(F.col("n") >= least)
+    read = long.select("k1", "line", "n", F.explode(spec).alias("x")).withColumn("size", F.col("n") - x["less"]).where(size >= least)
+    return read.select(F.xxhash64(size, x["hole"], *pieces).alias("token"), "k1", x["entry"].alias("entry"))
+
+
+def shared(rows: DataFrame) -> DataFrame:
+    """The rows (token, k1, entry), each once, of tokens that are an entry of one line and belong to another too."""
+    dealt = rows.repartition("token")
+    tokens = dealt.groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.max("entry").alias("e")).where("lo < hi AND e = 1").select("token")
+    return stored(dealt.join(tokens.hint("shuffle_hash"), "token").distinct())
+
+
+def met(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """(a, b), a < b: the lines of rows and of others that share a token, one of them as an entry, and have different roots if rows have roots."""
+    root = ["root"] if "root" in rows.columns else []
+    right = others.select("token", F.col("k1").alias("k"), F.col("entry").alias("e"), *[F.col(c).alias("r") for c in root])
+    pairs = rows.join(right, "token").where("k1 != k AND entry + e > 0")
+    return (pairs.where("root != r") if root else pairs).select(F.least("k1", "k").alias("a"), F.greatest("k1", "k").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): the nodes (structs of both hashes) of the pairs (a, b) of k1 whose edit distance is at most threshold. texts is (k1, k2, line)."""
+    left, right = (texts.select(F.col("k1").alias(k), F.struct("k1", "k2").alias(f"node_{k}"), F.col("line").alias(f"line_{k}"), F.length("line").alias(f"n_{k}")) for k in "ab")
+    beside = pairs.join(left, "a").join(right, "b").where(F.abs(F.col("n_a") - F.col("n_b")) <= threshold)
+    swap = F.col("n_a") > F.col("n_b")
+    ordered = beside.select("node_a", "node_b", F.when(swap, F.col("line_b")).otherwise(F.col("line_a")).alias("short"), F.when(swap, F.col("line_a")).otherwise(F.col("line_b")).alias("long"))
+    ordered = ordered.repartition(pairs.count() // PAIRS + 1)  # the rows are small but take long: by their bytes they would all come to one task
+    # a draw below 1 doesn't change which whole numbers are small enough, but keeps the optimizer from verifying ahead of the repartition
+    return ordered.where(banded_distance(F.col("short"), F.col("long"), threshold) + F.rand(0) < threshold + 1).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
+def edit_links(lines: DataFrame, threshold: int = 2, least: int = 16) -> DataFrame:
+    """(a, b): links between different lines (k1, k2, line; of at least ``least`` characters, repeats allowed) whose edit distance is at most threshold, so many that they join all lines which such pairs join.
+
+    Lines meet under signatures of threshold + 1 segments. Where more than HOT pairs would meet under one, as in a large group of near copies of one line, its lines meet under signatures of more segments instead, whose larger part is
+    equal: lines that differ in other places than their edits allow no longer do. Under those that stay hot, lines are tried with a few of them first; only lines that are still in different components are then tried with each other.
     """
-    reach = lambda less, i: range(max(-i, less - (threshold - i)), min(i, less + (threshold - i)) + 1)
-    return F.concat(*[_hashes(line, threshold, less, [(i, move) for i in range(threshold + 1) for move in reach(less, i)]) for less in range(threshold + 1)])
+    found = shared(signatures(lines, threshold + FINER[0], threshold, least))
+    texts = stored(lines.join(few(found.select(F.col("k1").alias("_k")).distinct()), F.col("k1") == F.col("_k"), "left_semi").select("k1", "k2", "line").distinct())
+    pairs, hot = None, None
+    for level in range(len(FINER)):
+        if level:
+            named = hot.select(F.col("k1").alias("_k")).distinct()
+            found = shared(signatures(texts.join(named, F.col("k1") == F.col("_k"), "left_semi"), threshold + FINER[level], threshold, least))
+        tokens = found.groupBy("token").agg((F.sum("entry") * (F.count(F.lit(1)) - 1)).alias("pairs"))
+        cold, hot = (found.join(tokens.where(F.col("pairs") > HOT).select("token"), "token", how) for how in ("left_anti", "left_semi"))
+        more = met(cold, cold)
+        pairs = more if pairs is None else pairs.unionByName(more).distinct()
+        if hot.isEmpty():
+            return verified(stored(pairs), texts, threshold)
+    tried = stored(pairs)
+    links, hot = stored(verified(tried, texts, threshold)), stored(hot)
+    for r, most in enumerate((*LEADERS, None)):
+        roots = connected_components(links).select(F.col("node.k1").alias("k1"), "root")
+        rooted = hot.join(roots, "k1", "left").withColumn("root", F.coalesce(F.col("root.k1"), F.col("k1")))
+        apart = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
+        hot = stored(rooted.join(apart, "token", "left_semi"))
+        if hot.isEmpty():
+            break
+        lead = hot
+        if most:
+            order = Window.partitionBy("token").orderBy(F.xxhash64("k1", F.lit(r)), "k1")  # one order for all tokens, so that groups that overlap have the same leaders
+            lead = hot.withColumn("at", F.row_number().over(order)).where(F.col("at") <= most).drop("at")
+        now = stored(met(hot, lead).join(tried, ["a", "b"], "left_anti"))
+        links = stored(links.unionByName(verified(now, texts, threshold)))
+        tried, hot = tried.unionByName(now), hot.drop("root")
+    return links
 
 
 def let(value: Column, use) -> Column:
@@ -102,60 +190,40 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
     return let(F.struct(F.split(a, "").alias("rows"), F.split(b, "").alias("columns"), F.length(a).alias("n"), F.length(b).alias("m")), walk)
 
 
-def occurrences(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, row, at, line) for the lines of at least ``least`` characters: row stands for the document's id and text, at is the line's number from 0, line is normal."""
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("row"), F.posexplode(lines_of(text)).alias("at", "line"))
-    return rows.withColumn("line", normal_line(F.col("line"))).where(F.length("line") >= least)
-
-
-def keyed_lines(lines: DataFrame, threshold: int, least: int = 0) -> DataFrame:
-    """lines (column line) with key, the line's hash, entries and probes; these two are null for lines of fewer than ``least`` characters, which meet none by edits."""
-    long = lambda hashes: F.when(F.length("line") >= least, hashes)
-    return lines.withColumn("key", F.xxhash64("line")).withColumn("entries", long(index_entries(F.col("line"), threshold))).withColumn("probes", long(probes(F.col("line"), threshold)))
-
-
-def edit_links(keyed: DataFrame, lines: DataFrame, threshold: int = 2) -> DataFrame:
-    """(a, b): hashes of different lines whose edit distance is at most threshold. keyed has the key, entries and probes of all lines, lines the lines; both may repeat.
-
-    Only hashes travel until two lines have met; then the lines that met are fetched once and each pair is verified.
-    """
-    side = lambda hashes, name: keyed.select(F.col("key").alias(name), F.explode(hashes).alias("probe")).repartition("probe").dropDuplicates(["probe", name])
-    met = cut(side("entries", "a").join(side("probes", "b"), "probe").where("a != b").select("a", "b").distinct())
-    keys = cut(met.select(F.explode(F.array("a", "b")).alias("_key")).distinct())
-    wanted = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-    texts = lines.select(F.xxhash64("line").alias("key"), "line").join(wanted, F.col("key") == F.col("_key"), "left_semi")
-    texts = cut(texts.groupBy("key").agg(F.first("line").alias("line")))
-    left, right = (texts.select(F.col("key").alias(k), F.col("line").alias(f"line_{k}"), F.length("line").alias(f"n_{k}")) for k in "ab")
-    pairs = met.join(left, "a").join(right, "b").where("n_a < n_b OR n_a = n_b AND a < b").where(F.col("n_b") - F.col("n_a") <= threshold)
-    # Spark's compiled banded distance discards nearly all pairs of lines that share a segment by chance; the bit vectors, as interpreted expressions, verify what is left
-    alike = pairs.where(F.levenshtein("line_a", "line_b", threshold) >= 0)
-    return alike.where(banded_distance(F.col("line_a"), F.col("line_b"), threshold) <= threshold).select("a", "b")
+def occurrences(docs: DataFrame, least: int) -> DataFrame:
+    """(doc_id, row, at, line, k1, k2) for the lines of at least ``least`` characters of docs (doc_id, row, text): at is the line's number from 0, line is normal, k1 and k2 are two hashes of it."""
+    rows = docs.select("doc_id", "row", F.posexplode(lines_of(F.col("text"))).alias("at", "line"))
+    rows = rows.withColumn("line", normal_line(F.col("line"))).where(F.length("line") >= least)
+    return rows.withColumn("k1", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit("second"), F.col("line")))
 
 
 def dedup_lines(docs: DataFrame, threshold: int = 2, least: int = 16, id_col: str = "doc_id", text_col: str = "text", equal: int | None = None) -> DataFrame:
     """docs with n_lines, removed (numbers of the removed lines, from 0, in order) and, in place of the text, the text without them.
 
     Runs of white space count as one space. Two lines link if they are equal or their edit distance is at most threshold; of all lines reachable by links only the first stays, by doc_id (null first) and line number.
-    Lines of fewer than ``least`` characters link by equality alone if they have ``equal`` characters or more, else (or if equal is None) they always stay. A line that a third of the documents hold is one row of the join, and its first place a grouped minimum. Null texts stay null, with no lines; empty ones have one, empty.
-    Rows that repeat a document are the same document and keep the same lines. Columns of docs with the new names are replaced.
+    Lines of fewer than ``least`` characters link by equality alone if they have ``equal`` characters or more, else (or if equal is None) they always stay. A line that a third of the documents hold is entered into the join
+    once, and its first place is a grouped minimum. Null texts stay null, with no lines; empty ones have one, empty.
+    Rows that repeat a document are the same document and keep the same lines. Columns of docs with the new names are replaced; any other name may be used.
     """
-    docs = docs.drop("n_lines", "removed")
-    own = docs.columns
-    text = F.col(text_col).cast("string")
-    found = occurrences(docs, least if equal is None else min(least, equal), id_col, text_col)
-    places = cut(keyed_lines(found, threshold, least).drop("line"))
-    links = edit_links(places, found, threshold)
-    places = places.select("doc_id", "row", "at", "key")
-    first = places.groupBy("key").agg(F.min(F.struct("doc_id", "row", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
-    classed = first.join(connected_components(links).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    classes = classed.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("n")).where("n > 1").select("root", "stays")
-    repeated = cut(classed.select("key", "root").join(classes, "root").select("key", "stays"))
-    gone = places.join(repeated, "key").where(~F.struct("doc_id", "row", "at").eqNullSafe(F.col("stays")))
+    own = [c for c in docs.columns if c.lower() not in ("n_lines", "removed")]
+    packed = docs.select(F.struct(*own).alias("own"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    lines = stored(occurrences(packed.drop("own"), least if equal is None else min(least, equal)))
+    repeated = stored(lines.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("doc_id", "row", "at")).alias("pick")).where("n > 1"))
+    common = repeated.where(F.col("n") > max(COMMON, lines.count() // COMMON_SHARE)).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "pick")
+    once = lines.join(few(common), (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left").where(F.col("pick").isNull() | (F.col("pick") == F.xxhash64("doc_id", "row", "at")))
+    roots = connected_components(edit_links(once.select("k1", "k2", "line"), threshold, least))
+    node = F.struct("k1", "k2")
+    classes = stored(repeated.select(node.alias("node")).join(roots, "node", "full").select("node.k1", "node.k2", F.coalesce("root", "node").alias("root")))
+    places = lines.select("doc_id", "row", "at", "k1", "k2").join(few(classes), ["k1", "k2"]).select("doc_id", "row", "at", "root")
+    stays = places.groupBy("root").agg(F.min(F.struct("doc_id", "row", "at")).alias("stays"))
+    gone = places.join(stays, "root").where(~F.struct("doc_id", "row", "at").eqNullSafe(F.col("stays")))
     # rows that repeat a document give the same places: each once
-    gone = gone.groupBy(F.col("row").alias("_row")).agg(F.sort_array(F.collect_set("at")).alias("removed"))
-    out = docs.withColumn("_key", F.xxhash64(F.col(id_col), text)).join(gone, F.col("_key") == F.col("_row"), "left")
-    removed = F.coalesce("removed", F.array().cast("array<int>"))
-    kept = F.when(F.col("removed").isNull(), text).otherwise(F.array_join(F.filter(lines_of(text), lambda x, i: ~F.array_contains(removed, i)), "\n"))
+    gone = stored(gone.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.sort_array(F.collect_set("at")).alias("removed")))
+    if (gone.agg(F.sum(F.size("removed") + 4)).first()[0] or 0) <= REMOVED:
+        gone = F.broadcast(gone)
+    found = packed.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left")
+    removed, text = F.coalesce("removed", F.array().cast("array<int>")), F.col("text")
+    stay = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), removed), lambda i: F.get(x, i))
+    kept = F.when(F.col("removed").isNull(), text).otherwise(F.array_join(let(lines_of(text), stay), "\n"))
     n = F.when(text.isNull(), 0).otherwise(F.size(lines_of(text))).cast("long")
-    return out.select(*[kept.alias(c) if c == text_col else F.col(c) for c in own], n.alias("n_lines"), removed.alias("removed"))
+    return found.select(*[kept.alias(c) if c == text_col else F.col("own").getField(c).alias(c) for c in own], n.alias("n_lines"), removed.alias("removed"))
