@@ -10,10 +10,8 @@ from pyspark.sql import functions as F
 from presslens.llm.common import few, stored
 from presslens.llm.components import connected_components
 
-#: A signature under which more pairs of lines than this would meet is replaced by signatures of more segments.
-HOT = 1024
-#: Segments a line is cut into beyond the threshold, level by level.
-FINER = (1, 6)
+#: Level by level: segments a line is cut into beyond the threshold, and how many pairs of lines may meet under a signature; if more would, signatures of the next level take its place.
+LEVELS = ((1, 64), (6, 512), (14, 1024))
 #: With how many lines of a signature that stays hot the others are tried, round by round, before those still apart are tried with each other.
 LEADERS = (4, 64)
 #: Pairs that a task verifies.
@@ -103,26 +101,27 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     ordered = beside.select("node_a", "node_b", F.when(swap, F.col("line_b")).otherwise(F.col("line_a")).alias("short"), F.when(swap, F.col("line_a")).otherwise(F.col("line_b")).alias("long"))
     ordered = ordered.repartition(pairs.count() // PAIRS + 1)  # the rows are small but take long: by their bytes they would all come to one task
     # a draw below 1 doesn't change which whole numbers are small enough, but keeps the optimizer from verifying ahead of the repartition
-    return ordered.where(banded_distance(F.col("short"), F.col("long"), threshold) + F.rand(0) < threshold + 1).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    near = let(differing(F.col("short"), F.col("long")), lambda x: banded_distance(x["a"], x["b"], threshold))
+    return ordered.where(near + F.rand(0) < threshold + 1).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def edit_links(lines: DataFrame, threshold: int = 2, least: int = 16) -> DataFrame:
     """(a, b): links between different lines (k1, k2, line; of at least ``least`` characters, repeats allowed) whose edit distance is at most threshold, so many that they join all lines which such pairs join.
 
-    Lines meet under signatures of threshold + 1 segments. Where more than HOT pairs would meet under one, as in a large group of near copies of one line, its lines meet under signatures of more segments instead, whose larger part is
+    Lines meet under signatures of threshold + 1 segments. Where too many pairs would meet (LEVELS) under one, as in a large group of near copies of one line, its lines meet under signatures of more segments instead, whose larger part is
     equal: lines that differ in other places than their edits allow no longer do. Under those that stay hot, lines are tried with a few of them first; only lines that are still in different components are then tried with each other.
     """
-    found = shared(signatures(lines, threshold + FINER[0], threshold, least))
+    found = shared(signatures(lines, threshold + LEVELS[0][0], threshold, least))
     texts = stored(lines.join(few(found.select(F.col("k1").alias("_k")).distinct()), F.col("k1") == F.col("_k"), "left_semi").select("k1", "k2", "line").distinct())
     pairs, hot = None, None
-    for level in range(len(FINER)):
+    for level, (more, most) in enumerate(LEVELS):
         if level:
             named = hot.select(F.col("k1").alias("_k")).distinct()
-            found = shared(signatures(texts.join(named, F.col("k1") == F.col("_k"), "left_semi"), threshold + FINER[level], threshold, least))
+            found = shared(signatures(texts.join(named, F.col("k1") == F.col("_k"), "left_semi"), threshold + more, threshold, least))
         tokens = found.groupBy("token").agg((F.sum("entry") * (F.count(F.lit(1)) - 1)).alias("pairs"))
-        cold, hot = (found.join(tokens.where(F.col("pairs") > HOT).select("token"), "token", how) for how in ("left_anti", "left_semi"))
-        more = met(cold, cold)
-        pairs = more if pairs is None else pairs.unionByName(more).distinct()
+        cold, hot = (found.join(tokens.where(F.col("pairs") > most).select("token"), "token", how) for how in ("left_anti", "left_semi"))
+        meet = met(cold, cold)
+        pairs = meet if pairs is None else pairs.unionByName(meet).distinct()
         if hot.isEmpty():
             return verified(stored(pairs), texts, threshold)
     tried = stored(pairs)
@@ -149,6 +148,25 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def differing(a: Column, b: Column) -> Column:
+    """The struct (a, b) without the characters that both start with and then both end with; the edit distance stays. Found by powers of two, so runs of more than 2^21 characters are taken off in part."""
+    powers = F.array(*[F.lit(1 << k) for k in range(20, -1, -1)])
+    least = F.least(F.length(a), F.length(b))
+
+    def start(n: Column, p: Column) -> Column:
+        return n + F.when((n + p <= least) & (F.substring(a, n + 1, p) == F.substring(b, n + 1, p)), p).otherwise(0)
+
+    def end(n: Column, p: Column, before: Column) -> Column:
+        same = F.substring(a, F.length(a) - n - p + 1, p) == F.substring(b, F.length(b) - n - p + 1, p)
+        return n + F.when((before + n + p <= least) & same, p).otherwise(0)
+
+    def rest(before: Column) -> Column:
+        after = F.aggregate(powers, F.lit(0), lambda n, p: end(n, p, before))
+        return let(after, lambda n: F.struct(F.substring(a, before + 1, F.length(a) - before - n).alias("a"), F.substring(b, before + 1, F.length(b) - before - n).alias("b")))
+
+    return let(F.aggregate(powers, F.lit(0), start), rest)
+
+
 def banded_distance(a: Column, b: Column, threshold: int) -> Column:
     """The edit distance of a and b if it is at most threshold, else a larger number. b is at least as long as a, by at most threshold.
 
