@@ -7,7 +7,7 @@ from itertools import combinations, product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from presslens.llm.common import few, stored
+from presslens.llm.common import few, renamed, set_aside, stored
 from presslens.llm.components import connected_components
 
 #: Level by level: segments a line is cut into beyond the threshold, and how many pairs of lines may meet under a signature; if more would, signatures of the next level take its place.
@@ -34,63 +34,76 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line))
 
 
-def patterns(parts: int, threshold: int) -> list[tuple[int, int, list[tuple[int, int, int]]]]:
-    """(less, hole, pieces): the ways to read a line of ``parts`` segments with ``threshold`` of them left out.
+def patterns(parts: int, threshold: int) -> list[tuple[int, int, list[tuple[int, int, int]], list[tuple[int, int, int, int]]]]:
+    """(less, hole, pieces, gaps): the ways to read a line of ``parts`` segments with ``threshold`` of them left out.
 
     Edits are at most threshold, so some choice of that many segments (hole numbers the choices) covers all edits between a line and its partner, and the text between the
     segments left out is the same in both. A piece (from, to, move) is the segments from..to - 1 of a partner that is shorter by less, read ``move`` characters to the right. Across left-out segments that lie
     side by side the move changes by at most their number; past the last ones it is less. With no move at all a line reads itself.
+    A gap (from, to, move before, move after) is a run of left-out segments. Where there are several, each holds an edit: if one held none, a choice with fewer gaps would cover all edits.
     """
     out = []
     for hole, gone in enumerate(combinations(range(parts), threshold)):
-        blocks: list[list[int]] = []
+        runs: list[list[int]] = []
         for i in gone:
-            if blocks and blocks[-1][1] == i:
-                blocks[-1][1] += 1
+            if runs and runs[-1][1] == i:
+                runs[-1][1] += 1
             else:
-                blocks.append([i, i + 1])
-        edges = [0, *(e for b in blocks for e in b), parts]
-        texts = list(zip(edges[::2], edges[1::2], strict=True))  # before, between and after the blocks; maybe empty at the ends
-        steps = [range(-(b - a), b - a + 1) for a, b in blocks]
-        for less in range(threshold + 1):
-            seen = set()
-            for step in product(*steps):
-                if sum(step) == less:
-                    moves = [sum(step[:k]) for k in range(len(step) + 1)]
-                    seen.add(tuple((a, b, m) for (a, b), m in zip(texts, moves, strict=True) if a < b))
-            out += [(less, hole, list(pieces)) for pieces in sorted(seen)]
+                runs.append([i, i + 1])
+        edges = [0, *(e for r in runs for e in r), parts]
+        texts = list(zip(edges[::2], edges[1::2], strict=True))  # before, between and after the runs; maybe empty at the ends
+        found = {}
+        for step in product(*[range(-(b - a), b - a + 1) for a, b in runs]):
+            if 0 <= sum(step) <= threshold:
+                moves = [sum(step[:k]) for k in range(len(step) + 1)]
+                pieces = [(a, b, m) for (a, b), m in zip(texts, moves, strict=True) if a < b]
+                gaps = [(a, b, moves[i], moves[i + 1]) for i, (a, b) in enumerate(runs)] if len(runs) > 1 else []
+                found[sum(step), tuple(pieces)] = gaps
+        out += [(less, hole, list(pieces), gaps) for (less, pieces), gaps in sorted(found.items())]
     return out
 
 
 def signatures(lines: DataFrame, parts: int, threshold: int, least: int) -> DataFrame:
-    """(token, k1, entry) for the lines (k1, line) of at least ``least`` characters: two lines within the threshold share a token that is an entry (entry = 1: the line read as it is) of the shorter one."""
+    """(token, k1, entry) for the lines (k1, line) of at least ``least`` characters: two lines within the threshold share a token that is an entry (entry = 1: the line read as it is) of the shorter one.
+
+    With more segments than threshold + 1, gap0, gap1, ... are added: the hashes of the gaps if there are several, null if not. Lines that share a token matter only if all these differ.
+    """
     ways = patterns(parts, threshold)
-    most = max(len(p) for _, _, p in ways)
-    fields = ["less", "hole", "entry", *(f"{c}{i}" for i in range(most) for c in "abm")]
-    rows = [(less, hole, int(less == 0 and not any(m for _, _, m in p)), *(x for piece in [*p, *[(0, 0, 0)] * (most - len(p))] for x in piece)) for less, hole, p in ways]
+    most, width = (max(len(w[k]) for w in ways) for k in (2, 3))
+    fields = ["less", "hole", "entry", *(f"{c}{i}" for i in range(most) for c in "abm"), *(f"{c}{i}" for i in range(width) for c in "fgxy")]
+    pad = lambda found, n, empty: [v for x in [*found, *[empty] * (n - len(found))] for v in x]
+    rows = [(less, hole, int(less == 0 and not any(m for _, _, m in p)), *pad(p, most, (0, 0, 0)), *pad(g, width, (0, 0, 0, 0))) for less, hole, p, g in ways]
     spec = F.array(*[F.struct(*[F.lit(v).alias(f) for f, v in zip(fields, r, strict=True)]) for r in rows])
     x, size = F.col("x"), F.col("size")
     base, shorter = F.floor(size / F.lit(parts)).cast("int"), F.lit(parts) - F.pmod(size, F.lit(parts))
     edge = lambda i: i * base + F.greatest(i - shorter, F.lit(0))  # noqa: E731  even segments, the longer ones last
-    pieces = [F.substring(F.col("line"), edge(x[f"a{i}"]) + x[f"m{i}"] + 1, edge(x[f"b{i}"]) - edge(x[f"a{i}"])) for i in range(most)]
+    read = lambda start, end: F.substring(F.col("line"), start + 1, end - start)
+    pieces = [read(edge(x[f"a{i}"]) + x[f"m{i}"], edge(x[f"b{i}"]) + x[f"m{i}"]) for i in range(most)]
+    gaps = [F.when(x[f"f{i}"] < x[f"g{i}"], F.xxhash64(read(edge(x[f"f{i}"]) + x[f"x{i}"], edge(x[f"g{i}"]) + x[f"y{i}"]))).alias(f"gap{i}") for i in range(width)]
     long = lines.select("k1", "line", F.length("line").alias("n")).where(F.col("n") >= least)
-    read = long.select("k1", "line", "n", F.explode(spec).alias("x")).withColumn("size", F.col("n") - x["less"]).where(size >= least)
-    return read.select(F.xxhash64(size, x["hole"], *pieces).alias("token"), "k1", x["entry"].alias("entry"))
+    ways = long.select("k1", "line", "n", F.explode(spec).alias("x")).withColumn("size", F.col("n") - x["less"]).where(size >= least)
+    return ways.select(F.xxhash64(size, x["hole"], *pieces).alias("token"), "k1", x["entry"].alias("entry"), *(gaps if parts > threshold + 1 else []))
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """The rows (token, k1, entry), each once, of tokens that are an entry of one line and belong to another too."""
+    """The rows of signatures(), each once, of tokens that are an entry of one line and belong to another too."""
     dealt = rows.repartition("token")
     tokens = dealt.groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.max("entry").alias("e")).where("lo < hi AND e = 1").select("token")
     return stored(dealt.join(tokens.hint("shuffle_hash"), "token").distinct())
 
 
 def met(rows: DataFrame, others: DataFrame) -> DataFrame:
-    """(a, b), a < b: the lines of rows and of others that share a token, one of them as an entry, and have different roots if rows have roots."""
-    root = ["root"] if "root" in rows.columns else []
-    right = others.select("token", F.col("k1").alias("k"), F.col("entry").alias("e"), *[F.col(c).alias("r") for c in root])
-    pairs = rows.join(right, "token").where("k1 != k AND entry + e > 0")
-    return (pairs.where("root != r") if root else pairs).select(F.least("k1", "k").alias("a"), F.greatest("k1", "k").alias("b")).distinct()
+    """(a, b), a < b: the lines of rows and of others that share a token, as an entry of that in rows, differ in all gaps, and have different roots if there are roots."""
+    right = others.select(*[F.col(c).alias(f"{c}_") for c in others.columns])
+    matter = (F.col("k1") != F.col("k1_")) & (F.col("entry") == 1)
+    if rows is others:  # two entries meet once
+        matter = matter & ((F.col("entry_") == 0) | (F.col("k1") < F.col("k1_")))
+    for c in rows.columns:
+        if c.startswith("gap"):
+            matter = matter & F.coalesce(F.col(c) != F.col(f"{c}_"), F.lit(True))
+    if "root" in rows.columns:
+        matter = matter & (F.col("root") != F.col("root_"))
+    return rows.join(right, (F.col("token") == F.col("token_")) & matter).select(F.least("k1", "k1_").alias("a"), F.greatest("k1", "k1_").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
@@ -137,7 +150,8 @@ def edit_links(lines: DataFrame, threshold: int = 2, least: int = 16) -> DataFra
         if most:
             order = Window.partitionBy("token").orderBy(F.xxhash64("k1", F.lit(r)), "k1")  # one order for all tokens, so that groups that overlap have the same leaders
             lead = hot.withColumn("at", F.row_number().over(order)).where(F.col("at") <= most).drop("at")
-        now = stored(met(hot, lead).join(tried, ["a", "b"], "left_anti"))
+        meet = met(hot, hot) if lead is hot else met(hot, lead).unionByName(met(lead, hot)).distinct()
+        now = stored(meet.join(tried, ["a", "b"], "left_anti"))
         links = stored(links.unionByName(verified(now, texts, threshold)))
         tried, hot = tried.unionByName(now), hot.drop("root")
     return links
@@ -223,9 +237,9 @@ def dedup_lines(docs: DataFrame, threshold: int = 2, least: int = 16, id_col: st
     once, and its first place is a grouped minimum. Null texts stay null, with no lines; empty ones have one, empty.
     Rows that repeat a document are the same document and keep the same lines. Columns of docs with the new names are replaced; any other name may be used.
     """
-    own = [c for c in docs.columns if c.lower() not in ("n_lines", "removed")]
-    packed = docs.select(F.struct(*own).alias("own"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    lines = stored(occurrences(packed.drop("own"), least if equal is None else min(least, equal)))
+    rows, own = set_aside(docs, "n_lines", "removed")
+    rows = rows.withColumn("doc_id", F.col(renamed(docs, id_col))).withColumn("text", F.col(renamed(docs, text_col)).cast("string")).withColumn("row", F.xxhash64("doc_id", "text"))
+    lines = stored(occurrences(rows.select("doc_id", "row", "text"), least if equal is None else min(least, equal)))
     repeated = stored(lines.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("doc_id", "row", "at")).alias("pick")).where("n > 1"))
     common = repeated.where(F.col("n") > max(COMMON, lines.count() // COMMON_SHARE)).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "pick")
     once = lines.join(few(common), (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left").where(F.col("pick").isNull() | (F.col("pick") == F.xxhash64("doc_id", "row", "at")))
@@ -233,15 +247,15 @@ def dedup_lines(docs: DataFrame, threshold: int = 2, least: int = 16, id_col: st
     node = F.struct("k1", "k2")
     classes = stored(repeated.select(node.alias("node")).join(roots, "node", "full").select("node.k1", "node.k2", F.coalesce("root", "node").alias("root")))
     places = lines.select("doc_id", "row", "at", "k1", "k2").join(few(classes), ["k1", "k2"]).select("doc_id", "row", "at", "root")
-    stays = places.groupBy("root").agg(F.min(F.struct("doc_id", "row", "at")).alias("stays"))
-    gone = places.join(stays, "root").where(~F.struct("doc_id", "row", "at").eqNullSafe(F.col("stays")))
+    stays = stored(places.groupBy("root").agg(F.min(F.struct("doc_id", "row", "at")).alias("stays")))
+    gone = places.join(few(stays), "root").where(~F.struct("doc_id", "row", "at").eqNullSafe(F.col("stays")))
     # rows that repeat a document give the same places: each once
     gone = stored(gone.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.sort_array(F.collect_set("at")).alias("removed")))
     if (gone.agg(F.sum(F.size("removed") + 4)).first()[0] or 0) <= REMOVED:
         gone = F.broadcast(gone)
-    found = packed.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left")
+    found = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left")
     removed, text = F.coalesce("removed", F.array().cast("array<int>")), F.col("text")
     stay = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), removed), lambda i: F.get(x, i))
     kept = F.when(F.col("removed").isNull(), text).otherwise(F.array_join(let(lines_of(text), stay), "\n"))
     n = F.when(text.isNull(), 0).otherwise(F.size(lines_of(text))).cast("long")
-    return found.select(*[kept.alias(c) if c == text_col else F.col("own").getField(c).alias(c) for c in own], n.alias("n_lines"), removed.alias("removed"))
+    return found.select(*[kept.alias(name) if c == renamed(docs, text_col) else F.col(c).alias(name) for name, c in own.items()], n.alias("n_lines"), removed.alias("removed"))
