@@ -29,6 +29,24 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def set_aside(docs: DataFrame, *new: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns renamed c0, c1, ... so that every other name is free, and {name: cN} of the columns to give back: all but those named as in new, whatever the case."""
+    out = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    replaced = {n.lower() for n in new}
+    return out, {c: f"c{i}" for i, c in enumerate(docs.columns) if c.lower() not in replaced}
+
+
+def renamed(docs: DataFrame, name: str) -> str:
+    """What set_aside() calls the column of docs with this name."""
+    if name in docs.columns:
+        return f"c{docs.columns.index(name)}"
+    return f"c{[c.lower() for c in docs.columns].index(name.lower())}"
+
+
+def given_back(own: dict[str, str]) -> list[Column]:
+    return [F.col(c).alias(name) for name, c in own.items()]
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, which clean() removes."""
     at = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

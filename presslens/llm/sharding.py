@@ -7,6 +7,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from presslens.llm.common import given_back, renamed, set_aside
+
 #: Hexadecimal digits of an MD5 that fit a signed 64-bit number.
 DIGITS = 15
 
@@ -25,14 +27,14 @@ def lookup_table(shards: list[str], size: int = 8191) -> list[int]:
         raise ValueError(f"{size} is not a prime")
     if not 0 < len(shards) <= size or len(set(shards)) < len(shards):
         raise ValueError("needs 1 to size shards with different names")
-    at = [_number(f"offset:{s}") % size for s in shards]
+    place = [_number(f"offset:{s}") % size for s in shards]
     skip = [_number(f"skip:{s}") % (size - 1) + 1 for s in shards]
     table, left = [-1] * size, size
     while left:
         for k in range(len(shards)):
-            while table[at[k]] >= 0:
-                at[k] = (at[k] + skip[k]) % size
-            table[at[k]] = k
+            while table[place[k]] >= 0:
+                place[k] = (place[k] + skip[k]) % size
+            table[place[k]] = k
             left -= 1
             if not left:
                 break
@@ -46,22 +48,21 @@ def slot(key: Column, size: int) -> Column:
 
 
 def shard(docs: DataFrame, shards: list[str] | int = 64, size: int = 8191, key: str = "doc_id", shard_col: str = "shard", slot_col: str = "slot") -> DataFrame:
-    """docs with the columns slot and shard (the shard's position). Every row is kept; columns of docs that have these names are replaced.
+    """docs with the columns slot and shard (the shard's position). Every row is kept; columns of docs that have these names are replaced, any other name may be used.
 
     The table has ``size`` entries whatever the number of rows; it is broadcast, and each row looks its slot up: no shuffle, no key can be hot in a task.
     Rows with equal keys, repeated rows included, share a shard; a null key goes where the empty string goes. An empty table stays empty.
     """
     names = [f"shard-{i:05d}" for i in range(shards)] if isinstance(shards, int) else shards
     text = ",".join(map(str, lookup_table(names, size)))
-    table = docs.sparkSession.range(1, numPartitions=1).select(F.posexplode(F.split(F.lit(text), ",")).alias("_slot", "_shard"))
-    table = table.select("_slot", F.col("_shard").cast("int").alias("_shard"))
-    rest = docs.drop(slot_col, shard_col)
-    found = rest.withColumn("_at", slot(F.col(key), size)).join(F.broadcast(table), F.col("_at") == F.col("_slot"))
-    return found.select(*[rest[c] for c in rest.columns], F.col("_slot").alias(slot_col), F.col("_shard").alias(shard_col))
+    table = docs.sparkSession.range(1, numPartitions=1).select(F.posexplode(F.split(F.lit(text), ",")).alias("slot", "to"))
+    rows, own = set_aside(docs, slot_col, shard_col)
+    found = rows.withColumn("slot", slot(F.col(renamed(docs, key)), size)).join(F.broadcast(table), "slot")
+    return found.select(*given_back(own), F.col("slot").alias(slot_col), F.col("to").cast("int").alias(shard_col))
 
 
 def write_shards(sharded: DataFrame, path: str, files_per_shard: int = 1, shard_col: str = "shard", key: str = "doc_id") -> None:
-    """One folder for each shard at any path that Spark can write. With several files per shard its rows are dealt by their key."""
+    """One folder for each shard at any path that Spark can write. With several files per shard its rows are dealt by their key; rows with equal or null keys share a file. An empty table writes no folder."""
     salt = F.pmod(F.xxhash64(key), F.lit(files_per_shard))
     sharded.repartition(F.col(shard_col), salt).write.partitionBy(shard_col).mode("errorifexists").parquet(path)
 
