@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from presslens.llm.common import WORD, cut
+from presslens.llm.common import WORD, few, given_back, renamed, set_aside, stored
 
 #: Decimals of the targets, so that sums in another order give the same draws.
 DECIMALS = 6
@@ -53,40 +53,46 @@ def draw(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), ceiling: float =
     Every document of a source has the same expected copies, target / source_size. Along the source's documents, ordered as place() says and then at random, their prefix sum plus one random
     offset of the source crosses a whole number as often as the document is taken: copies are the expected number rounded up or down, never above the ceiling, and the words taken miss the target by about a document.
     Prefix sums need a document's rank within its source. No task gets a source whole: the documents of a place are dealt to cells of about ``cell`` of them, counted, and ranked inside their cell.
-    Null texts have size 0; null sources are one source; null ids are ranked first; rows that repeat are drawn each. A source without words has target 0. Columns of docs with the new names are replaced.
+    Null texts have size 0; null sources are one source; rows without an id, or that share one, are told apart by their texts; rows that repeat are drawn each. A source without words has target 0. An empty table gives an empty one.
+    Columns of docs with the new names are replaced; any other name may be used.
     """
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    d = docs.select(*own).withColumn("size", words(F.col(text_col))).withColumn("_hash", _digest(F.lit(seed), F.col(id_col).cast("string")))
-    d = d.withColumn("_class", place(F.col("size"), F.col("_hash")))
-    narrow = cut(d.select(F.col(source_col).alias("source"), F.col("_class").alias("_c"), "_hash", "size"))  # the texts are read once for the counts, once for the rows
-    by_class = narrow.groupBy("source", "_c").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_words"))
-    by_class = cut(by_class)
-    wanted = targets(by_class.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, ceiling).withColumnRenamed("source", "_t")
-    earlier = Window.partitionBy("source").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    classes = by_class.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).withColumn("_cells", F.ceil(F.col("_n") / F.lit(float(cell))).cast("long"))
-    classes = classes.join(wanted, F.col("source").eqNullSafe(F.col("_t"))).select(F.col("source").alias("_s"), "_c", "_before", "_cells", "source_size", "target")
-    classes = cut(classes)
-    in_class = F.col("source").eqNullSafe(F.col("_s")) & (F.col("_n") == F.col("_c"))
-    earlier = Window.partitionBy("_ks", "_kc").orderBy("_kb").rowsBetween(Window.unboundedPreceding, -1)
-    cells = narrow.withColumnRenamed("_c", "_n").join(classes, in_class).groupBy(F.col("_s").alias("_ks"), F.col("_c").alias("_kc"), F.pmod("_hash", F.col("_cells")).alias("_kb")).agg(F.count(F.lit(1)).alias("_m"))
-    cells = cells.withColumn("_skip", F.coalesce(F.sum("_m").over(earlier), F.lit(0))).drop("_m")
-    dealt = d.join(classes, F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_class") == F.col("_c"))).drop("_c")
-    dealt = dealt.withColumn("_cell", F.pmod("_hash", F.col("_cells")))
-    placed = dealt.join(cells, F.col("_s").eqNullSafe(F.col("_ks")) & (F.col("_class") == F.col("_kc")) & (F.col("_cell") == F.col("_kb")))
-    inside = Window.partitionBy("_s", "_class", "_cell").orderBy("_hash", F.col(id_col).asc_nulls_first())
-    rank = (F.col("_before") + F.col("_skip") + F.row_number().over(inside)).cast("double")
-    offset = _digest(F.lit(seed), F.lit("offset"), F.coalesce(F.concat(F.lit("s"), F.col("_s")), F.lit("null"))).cast("double") / F.lit(float(16**15))
+    rows, own = set_aside(docs, "size", "source_size", "target", "copies")
+    return _drawn(docs, rows, weights, ceiling, seed, cell, id_col, text_col, source_col).select(*given_back(own), "size", "source_size", "target", "copies")
+
+
+def _drawn(docs: DataFrame, rows: DataFrame, weights: tuple[int, ...], ceiling: float, seed: str, cell: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """rows, docs as set_aside() renames it, with the new columns of draw()."""
+    text = F.col(renamed(docs, text_col))
+    d = rows.withColumn("size", words(text)).withColumn("hash", _digest(F.lit(seed), F.coalesce(F.col(renamed(docs, id_col)).cast("string"), F.lit("")), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))))
+    d = d.withColumn("class", place(F.col("size"), F.col("hash"))).withColumn("src", F.col(renamed(docs, source_col)).cast("string"))
+    narrow = stored(d.select(F.col("src").alias("source"), F.col("class").alias("of"), "hash", "size"))  # the texts are read once for the counts, once for the rows
+    by_class = stored(narrow.groupBy("source", "of").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")))
+    wanted = targets(by_class.groupBy("source").agg(F.sum("words").alias("source_size")), weights, ceiling).withColumnRenamed("source", "t")
+    earlier = Window.partitionBy("source").orderBy("of").rowsBetween(Window.unboundedPreceding, -1)
+    classes = by_class.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).withColumn("cells", F.ceil(F.col("n") / F.lit(float(cell))).cast("long"))
+    classes = classes.join(wanted, F.col("source").eqNullSafe(F.col("t"))).select(F.col("source").alias("s"), F.col("of").alias("sc"), "before", "cells", "source_size", "target")
+    classes = few(stored(classes))  # a row for each source and class of size
+    # the class takes the lowest bit of the hash, the cell the others
+    in_cell = F.pmod(F.shiftright("hash", 1), F.col("cells"))
+    earlier = Window.partitionBy("ks", "kc").orderBy("kb").rowsBetween(Window.unboundedPreceding, -1)
+    cells = narrow.join(classes, F.col("source").eqNullSafe(F.col("s")) & (F.col("of") == F.col("sc"))).groupBy(F.col("s").alias("ks"), F.col("sc").alias("kc"), in_cell.alias("kb")).agg(F.count(F.lit(1)).alias("m"))
+    cells = few(stored(cells.withColumn("skip", F.coalesce(F.sum("m").over(earlier), F.lit(0))).drop("m")))
+    dealt = d.join(classes, F.col("src").eqNullSafe(F.col("s")) & (F.col("class") == F.col("sc"))).withColumn("cell", in_cell)
+    placed = dealt.join(cells, F.col("s").eqNullSafe(F.col("ks")) & (F.col("class") == F.col("kc")) & (F.col("cell") == F.col("kb")))
+    inside = Window.partitionBy("s", "class", "cell").orderBy("hash", F.col(renamed(docs, id_col)).asc_nulls_first())
+    rank = (F.col("before") + F.col("skip") + F.row_number().over(inside)).cast("double")
+    offset = _digest(F.lit(seed), F.lit("offset"), F.coalesce(F.concat(F.lit("s"), F.col("s")), F.lit("null"))).cast("double") / F.lit(float(16**15))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    placed = placed.withColumn("_rank", rank).withColumn("_rate", rate).withColumn("_offset", offset)
-    crossed = F.floor(F.col("_rank") * F.col("_rate") + F.col("_offset")) - F.floor((F.col("_rank") - 1) * F.col("_rate") + F.col("_offset"))
-    return placed.withColumn("copies", crossed.cast("long")).select(*own, "size", "source_size", "target", "copies")
+    placed = placed.withColumn("rank", rank).withColumn("rate", rate).withColumn("offset", offset)
+    crossed = F.floor(F.col("rank") * F.col("rate") + F.col("offset")) - F.floor((F.col("rank") - 1) * F.col("rate") + F.col("offset"))
+    return placed.withColumn("copies", crossed.cast("long"))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the mix takes, each as often as draw() says, with the columns of docs."""
-    own = docs.columns
-    taken = draw(docs, **options).where("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*own)
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), ceiling: float = 3.0, seed: str = "0", cell: int = 2000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The documents that the mix takes, each as often as draw() says, with the columns of docs, all as they are. Nulls, ties, repeated rows and empty tables are as in draw(); texts without words are taken as often as others of their source."""
+    rows, own = set_aside(docs)
+    taken = _drawn(docs, rows, weights, ceiling, seed, cell, id_col, text_col, source_col).where("copies > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*given_back(own))
 
 
 def draw_sql(weights: tuple[int, ...] = (5, 2, 1), ceiling: float = 3.0, seed: str = "0", cell: int = 2000, docs: str = "documents") -> str:
@@ -94,8 +100,8 @@ def draw_sql(weights: tuple[int, ...] = (5, 2, 1), ceiling: float = 3.0, seed: s
     turns = ", ".join(f"CAST({w} AS DOUBLE)" for w in weights)
     digest = lambda x: f"CAST('0x' || substr(md5({x}), 1, 15) AS BIGINT)"
     return f"""
-        WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size FROM {docs}),
-        g AS (SELECT *, {digest(f"concat_ws('|', '{seed}', CAST(doc_id AS VARCHAR))")} AS h, CAST(floor(log2(CAST(greatest(size, 1) AS DOUBLE)) * 8) AS INTEGER) AS octave FROM d),
+        WITH d AS (SELECT doc_id, source, text, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size FROM {docs}),
+        g AS (SELECT *, {digest(f"concat_ws('|', '{seed}', coalesce(CAST(doc_id AS VARCHAR), ''), md5(coalesce(text, '')))")} AS h, CAST(floor(log2(CAST(greatest(size, 1) AS DOUBLE)) * 8) AS INTEGER) AS octave FROM d),
         e AS (SELECT *, CASE WHEN h % 2 = 0 THEN octave - 1000 ELSE 1000 - octave END AS class FROM g),
         s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
         w AS (SELECT *, [{turns}][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} AS INTEGER) + 1] AS weight, {float(ceiling)!r} * source_size AS most FROM s),
@@ -105,7 +111,7 @@ def draw_sql(weights: tuple[int, ...] = (5, 2, 1), ceiling: float = 3.0, seed: s
         t AS (SELECT source, source_size, round(least(most, coalesce((SELECT level FROM f) * weight, most)), {DECIMALS}) AS target FROM l),
         c AS (SELECT source, class, CAST(ceil(count(*) / {float(cell)!r}) AS BIGINT) AS cells FROM e GROUP BY source, class),
         r AS (SELECT e.doc_id, e.size, t.source_size, t.target, e.source,
-                     CAST(row_number() OVER (PARTITION BY e.source ORDER BY e.class, h % cells, h, e.doc_id NULLS FIRST) AS DOUBLE) AS pos,
+                     CAST(row_number() OVER (PARTITION BY e.source ORDER BY e.class, (h >> 1) % cells, h, e.doc_id NULLS FIRST) AS DOUBLE) AS pos,
                      CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
                      CAST({digest(f"concat_ws('|', '{seed}', 'offset', coalesce('s' || e.source, 'null'))")} AS DOUBLE) / {float(16**15)!r} AS u
               FROM e JOIN t ON e.source IS NOT DISTINCT FROM t.source JOIN c ON e.source IS NOT DISTINCT FROM c.source AND e.class = c.class)
