@@ -10,9 +10,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
-#: Items of the benchmark that are held, sent and searched for at once; more go through the documents in further blocks.
-BLOCK = 20_000
+from presslens.llm.common import given_back, renamed, set_aside, stored
+
+#: Items of the benchmark, and bytes of their texts, that are held, sent and searched for at once; more go through the documents in further blocks.
+BLOCK, BLOCK_BYTES = 20_000, 16_000_000
 #: Words whose numbers a worker remembers; beyond it the memory starts anew.
 REMEMBERED = 1_000_000
 #: Windows of one text that are fingerprinted at once.
@@ -72,23 +76,31 @@ class Index:
         for width in {min(k, n) for n in self.by_size}:
             self.codes[width] = np.unique(np.concatenate([c for n, c in self.codes_of.items() if min(k, n) == width]))
         self.fp = {n: np.array([fingerprint(self.bags[i]) for i in at], np.uint64) for n, at in self.by_size.items()}
-        # blocks[n][b][v]: for each item of size n whether its block b is within the slack of the value v
-        values = np.arange(256, dtype=np.uint64)[:, None]
-        self.blocks = {n: [np.bitwise_count(((fp >> np.uint64(8 * b)) & np.uint64(255))[None, :] ^ values) <= self.slack for b in range(8)] for n, fp in self.fp.items()}
+        self.blocks = {n: [self._lists((fp >> np.uint64(8 * b)) & np.uint64(255)) for b in range(8)] for n, fp in self.fp.items()}
         self.numbers = _Numbers(self.number)
 
     def _code(self, s: str) -> int:
         words = s.split(" ")
         return int(rolling(np.array([self.number[w] for w in words], np.uint64), len(words))[0])
 
+    def _lists(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, items): items[starts[v] : starts[v + 1]] are the items whose value of the block is within the slack of v."""
+        near = np.bitwise_count(block[None, :] ^ np.arange(256, dtype=np.uint64)[:, None]) <= self.slack
+        return np.concatenate(([0], np.cumsum(near.sum(axis=1)))), np.nonzero(near)[1].astype(np.int32)
+
     def candidates(self, n: int, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) positions of the items of size n within the radius of each fingerprint: those that some block's table has, and that the distance confirms."""
-        met = np.zeros((len(fps), len(self.fp[n])), bool)
-        for b in range(8):
-            met |= self.blocks[n][b][((fps >> np.uint64(8 * b)) & np.uint64(255)).astype(np.int64)]
-        window, item = np.nonzero(met)
-        near = np.bitwise_count(self.fp[n][item] ^ fps[window]) <= self.radius
-        return window[near], np.array(self.by_size[n])[item[near]]
+        """(window, item) positions of the items of size n within the radius of each fingerprint: those that some block's list for the window's value holds, and that the distance confirms."""
+        windows, items = [], []
+        for b, (starts, lists) in enumerate(self.blocks[n]):
+            v = ((fps >> np.uint64(8 * b)) & np.uint64(255)).astype(np.int64)
+            many = starts[v + 1] - starts[v]
+            window = np.repeat(np.arange(len(fps)), many)
+            item = lists[np.arange(len(window)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(starts[v], many)]
+            near = np.bitwise_count(self.fp[n][item] ^ fps[window]) <= self.radius
+            windows.append(window[near])
+            items.append(item[near])
+        met = np.unique(np.concatenate(windows) * len(self.fp[n]) + np.concatenate(items))
+        return met // len(self.fp[n]), np.array(self.by_size[n])[met % len(self.fp[n])]
 
 
 class _Numbers(dict):
@@ -185,32 +197,30 @@ def find(text: str | None, index: Index, similarity: float) -> dict[int, tuple[f
     return found
 
 
-def benchmark_blocks(benchmark: DataFrame, block: int = BLOCK) -> Iterator[list[tuple[object, str]]]:
-    """The items, ``block`` at a time: however many there are, the driver and a task hold only so many."""
+def benchmark_blocks(benchmark: DataFrame, block: int = BLOCK, most_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[object, str]]]:
+    """The items, ``block`` of them or ``most_bytes`` of text at a time (one item at least): however many there are, the driver and a task hold only so many."""
     held: list[tuple[object, str]] = []
+    size = 0
     for r in benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL").toLocalIterator():
-        held.append((r[0], r[1]))
-        if len(held) == block:
+        if held and (len(held) == block or size + len(r[1].encode()) > most_bytes):
             yield held
-            held = []
+            held, size = [], 0
+        held.append((r[0], r[1]))
+        size += len(r[1].encode())
     if held:
         yield held
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 20, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with item_ids (those whose passage the text holds), similarities and positions (the first word of the best window of each).
+def _searched(docs: DataFrame, benchmark: DataFrame, k: int, similarity: float, radius: int, block: int, text_col: str, *replaced: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs as set_aside() renames it with the columns of matches().
 
-    A passage matches at a weighted Jaccard similarity of at least ``similarity`` of k-word shingles between the item and a window of as many words. Fingerprints of such windows
-    differ in about ten bits; the radius of 20 bits is 3.5 standard deviations beyond. Case, white space and the punctuation around words don't count. Each text is searched whole, on its own: no shuffle, no hot key.
-    Null and empty texts hold nothing; null and empty items match nothing; items of fewer than k words match as one shingle; repeated rows are searched each; an empty benchmark matches nothing. Columns of docs with the new names are replaced.
+    Each block of items is a pass over the documents; with several, what was found is written to the shared folder after each, so that a task holds one block's index.
     """
-    new = ("item_ids", "similarities", "positions")
-    docs = docs.drop(*new)
-    own = docs.columns
-    item_kind = dict(benchmark.dtypes)["item_id"]
-    schema = docs.schema
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + f", item_ids array<{item_kind}>, similarities array<double>, positions array<int>"
-    text_at = own.index(text_col)
+    rows, own = set_aside(docs, *replaced)
+    rows = rows.select(*own.values(), F.col(renamed(docs, text_col)).cast("string").alias("text"))
+    item = benchmark.schema["item_id"].dataType
+    new = StructType().add("item_ids", ArrayType(item)).add("similarities", ArrayType(DoubleType())).add("positions", ArrayType(IntegerType()))
+    kinds = [to_arrow_type(f.dataType) for f in new.fields]
 
     def search(items: list[tuple[object, str]]):
         shared = docs.sparkSession.sparkContext.broadcast(items)
@@ -218,43 +228,39 @@ def matches(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity: float
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value, k, radius)
             for b in batches:
-                rows = []
-                for t in b.column(text_at):
-                    found = find(t.as_py(), index, similarity)
-                    rows.append(sorted((index.ids[i], s, at) for i, (s, at) in found.items()))
-                new_columns = [pa.array([[x[j] for x in r] for r in rows], kind) for j, kind in enumerate((pa.list_(_arrow(item_kind)), pa.list_(pa.float64()), pa.list_(pa.int32())))]
-                yield pa.RecordBatch.from_arrays([*b.columns, *new_columns], names=[*own, *new])
+                found = []
+                for t, *known in zip(*(b.column(i).to_pylist() if i > len(own) else b.column(i) for i in range(len(own), b.num_columns)), strict=True):
+                    here = sorted(((index.ids[i], s, at) for i, (s, at) in find(t.as_py(), index, similarity).items()), key=lambda x: (x[0] is not None, x[0], x[2]))
+                    found.append([x + [h[j] for h in here] for j, x in enumerate(known)])
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(own) + 1], *(pa.array([f[j] for f in found], kind) for j, kind in enumerate(kinds))], names=b.schema.names)
 
         return run
 
-    out = None
-    for items in benchmark_blocks(benchmark, block):
-        found = (docs if out is None else out.select(*own)).mapInArrow(search(items), fields)
-        if out is not None:  # a further block: its matches are laid after those found so far
-            held = out.select(*own, *[F.col(c).alias(f"_{c}") for c in new])
-            merged_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema) + fields[len(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)) :]
-            found = held.mapInArrow(_with(search(items), len(own)), merged_fields).select(*own, *[F.concat(F.col(f"_{c}"), F.col(c)).alias(c) for c in new])
-        out = found
-    if out is None:
-        out = docs.select(*own, F.array().cast(f"array<{item_kind}>").alias("item_ids"), F.array().cast("array<double>").alias("similarities"), F.array().cast("array<int>").alias("positions"))
-    return out
+    out = rows.select("*", *[F.array().cast(f.dataType).alias(f.name) for f in new.fields])
+    schema = StructType([*rows.schema.fields, *new.fields])
+    blocks = benchmark_blocks(benchmark, block)
+    items = next(blocks, None)
+    while items:
+        out = out.mapInArrow(search(items), schema)
+        if items := next(blocks, None):
+            out = stored(out)
+    return out, own
 
 
-def _with(run, n: int):
-    """run on the first n columns, the others passed along before its own."""
-
-    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x in run(iter([b.select(list(range(n)))])):
-                yield pa.RecordBatch.from_arrays([*b.columns, *x.columns[n:]], names=[*b.schema.names, *x.schema.names[n:]])
-
-    return both
-
+def matches(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 20, block: int = BLOCK, text_col: str = "text") -> DataFrame:
+    """docs with item_ids (those whose passage the text holds), similarities and positions (the first word of the best window of each).
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16()}[kind]
+    A passage matches at a weighted Jaccard similarity of at least ``similarity`` of k-word shingles between the item and a window of as many words. Fingerprints of such windows
+    differ in about ten bits; the radius of 20 bits is 3.5 standard deviations beyond. Case, white space and the punctuation around words don't count. Each text is searched whole, on its own: no shuffle, no hot key.
+    Null and empty texts hold nothing; null and empty items match nothing; items of fewer than k words match as one shingle; repeated rows are searched each; an empty benchmark matches nothing, empty docs stay empty.
+    Columns of docs with the new names are replaced, any other name may be used. item_id may be of any type that has an order.
+    """
+    new = ("item_ids", "similarities", "positions")
+    out, own = _searched(docs, benchmark, k, similarity, radius, block, text_col, *new)
+    return out.select(*given_back(own), *new)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 20, block: int = BLOCK, text_col: str = "text") -> DataFrame:
     """The documents that hold no passage of the benchmark, with the columns of docs."""
-    return matches(docs, benchmark, **options).where(F.size("item_ids") == 0).select(*docs.columns)
+    out, own = _searched(docs, benchmark, k, similarity, radius, block, text_col)
+    return out.where(F.size("item_ids") == 0).select(*given_back(own))
