@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presslens.llm.common import cut
+from presslens.llm.common import stored
 from presslens.llm.components import connected_components
 from presslens.llm.simhash import Forest
 
-#: At most so many pivots (twice this) are sent to the executors, however many vectors there are.
-MOST_PIVOTS = 16_384
+#: Labels of more vectors than this are dealt to cells, at least two.
+WHOLE = 16
+#: At most so many numbers of pivots (and one pivot a label) are sent to the executors, however many vectors there are; cells are larger then, and split.
+PIVOT_NUMBERS = 4_000_000
 #: Cosines this near to the threshold are computed again, as a quotient.
 EDGE = 1e-9
 
@@ -31,17 +33,17 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, cell: int = 4096,
     """(vec_id, n_links, component_id, kept) for every row of vectors.
 
     Two vectors link if their labels and lengths are equal and their cosine is at least the threshold, that is, if the distance of the unit vectors is at most tau = sqrt(2 - 2 threshold).
-    A label with more than ``cell`` vectors gets pivots drawn from its own vectors; each vector lives in the cell of its nearest pivot. By the triangle inequality a vector x of cell h can have a partner in cell j only if
+    A label of n > WHOLE vectors gets n / ``cell`` pivots, at least two, drawn from its own vectors; each vector lives in the cell of its nearest pivot. By the triangle inequality a vector x of cell h can have a partner in cell j only if
     (d(x, j) - d(x, h)) / 2 <= tau, sharpened for Euclidean distance to (d(x, j)^2 - d(x, h)^2) / (2 d(h, j)) <= tau; it is copied to those cells j < h, so that each pair meets in one cell and cells join on their own.
     Equal vectors are one row with a count before that. A cell of more than ``cell`` residents is split; residents are held in memory, visitors stream past. Links are counted in full, but of their pairs
     only a spanning forest leaves a task, so groups of copies stay linear. Vectors that are null, empty, zero or hold null or non-finite components, and those with a null label or vec_id, link with nothing.
-    n_links counts rows; an empty table gives an empty one; other columns are ignored. Rows that repeat a vec_id with another vector count as one node of a component.
+    kept is true for a null vec_id. n_links counts rows; an empty table gives an empty one; other columns are ignored. Rows that repeat a vec_id with another vector count as one node of a component.
     """
     v = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     ok = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable("v")
     v = v.withColumn("h1", F.when(ok, F.xxhash64("label", "v"))).withColumn("h2", F.when(ok, F.xxhash64(F.lit("second"), "v", "label")))
-    classes = cut(v.where(F.col("h1").isNotNull()).groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("v").alias("v")))
-    found = cut(_join(classes, threshold, cell))
+    classes = stored(v.where(F.col("h1").isNotNull()).groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("v").alias("v")))
+    found = stored(_join(classes, threshold, cell, "float" in dict(vectors.dtypes)[vector_col]))
     counts = found.where("other IS NULL").groupBy("rep", "h1").agg(F.sum("n").alias("n"))
     roots = connected_components(found.where("other IS NOT NULL").select("rep", "other"), "rep", "other").withColumnRenamed("node", "rep")
     named = classes.select("label", "h1", "h2", "rep", "mult").join(counts.withColumnRenamed("h1", "_h1").withColumnRenamed("rep", "_rep"), (F.col("rep") == F.col("_rep")) & (F.col("h1") == F.col("_h1")), "left")
@@ -51,18 +53,23 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, cell: int = 4096,
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _pivots(classes: DataFrame, cell: int) -> tuple[int, dict[tuple, np.ndarray]]:
-    """Unit vectors for each label and length with more vectors than a cell holds. Every label's number of pivots is its share of the vectors, at most 2 * MOST_PIVOTS in all."""
-    total = classes.count()
-    cell = max(cell, math.ceil(total / MOST_PIVOTS))
-    sized = classes.groupBy("label", F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell)
-    sized = sized.select(F.col("label").alias("_l"), F.col("dim").alias("_d"), F.ceil(F.col("n") / F.lit(float(cell))).cast("long").alias("p"))
+def _pivots(classes: DataFrame, cell: int) -> dict[tuple, np.ndarray]:
+    """Unit vectors for each label and length with more than WHOLE vectors: their number is the label's share of the vectors."""
+    sized = classes.groupBy("label", F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WHOLE)
+    p = F.greatest(F.lit(2), F.ceil(F.col("n") / F.lit(float(cell))))
+    numbers = sized.agg(F.sum(p * F.col("dim")).alias("x")).first().x or 0
+    p = F.greatest(F.lit(2), F.floor(p * min(1.0, PIVOT_NUMBERS / max(numbers, 1)))).cast("long")
+    sized = sized.select(F.col("label").alias("_l"), F.col("dim").alias("_d"), p.alias("p"))
     drawn = classes.join(sized, (F.col("label") == F.col("_l")) & (F.size("v") == F.col("_d")))
     drawn = drawn.groupBy("label", F.size("v").alias("dim"), F.pmod("h2", F.col("p")).alias("k")).agg(F.min_by("v", "h2").alias("v"))
     out: dict[tuple, list] = {}
-    for r in drawn.orderBy("label", "dim", "k").toLocalIterator():
+    size = 0
+    for r in drawn.orderBy("dim", "k", "label").toLocalIterator():
+        if size + r.dim > 4 * PIVOT_NUMBERS and (r.label, r.dim) not in out:
+            continue  # so many labels that each having pivots is too much: the others are one cell, split into parts
         out.setdefault((r.label, r.dim), []).append(r.v)
-    return cell, {k: _unit(np.array(x)) for k, x in out.items()}
+        size += r.dim
+    return {k: _unit(np.array(x)) for k, x in out.items()}
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -70,12 +77,13 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _join(classes: DataFrame, threshold: float, cell: int) -> DataFrame:
+def _join(classes: DataFrame, threshold: float, cell: int, single: bool) -> DataFrame:
     """(rep, h1, n, other): rows with a null other add n to the links of the class (rep, h1); the others are links between classes, a spanning forest of each task's."""
-    cell, pivots = _pivots(classes, cell)
+    pivots = _pivots(classes, cell)
     kind, label_kind = dict(classes.dtypes)["rep"], dict(classes.dtypes)["label"]
     shared = classes.sparkSession.sparkContext.broadcast(pivots)
     tau = math.sqrt(2 - 2 * threshold) + EDGE
+    number = np.dtype("f4" if single else "f8")  # as in the table, so that copies take no more than they have to
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -95,20 +103,21 @@ def _join(classes: DataFrame, threshold: float, cell: int) -> DataFrame:
                 else:
                     dots = _unit(x) @ p.T  # d^2 = 2 - 2 dot
                     home = dots.argmax(axis=1)
-                    apart = np.sqrt(np.maximum(2 - 2 * p @ p.T, 1e-30))
-                    bound = (dots[np.arange(len(at)), home][:, None] - dots) / apart[home]
+                    homes_here, which = np.unique(home, return_inverse=True)
+                    apart = np.sqrt(np.maximum(2 - 2 * p[homes_here] @ p.T, 1e-30))
+                    bound = (dots[np.arange(len(at)), home][:, None] - dots) / apart[which]
                     visits = (bound <= tau) & (np.arange(len(p))[None, :] < home[:, None])
                 visits[np.arange(len(at)), home] = True
                 for r, c in zip(*np.nonzero(visits), strict=True):
                     rows.append(at[r])
                     cells.append(int(c))
                     homes.append(bool(home[r] == c))
-                    data.append(x[r].tobytes())
+                    data.append(x[r].astype(number).tobytes())
             take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), pa.array(dims[rows] if rows else [], pa.int32()), pa.array(cells, pa.int32()), pa.array(homes, pa.bool_()), b.column(1).take(take), b.column(2).take(take), b.column(3).take(take), pa.array(data, pa.binary())], names=["label", "dim", "cell", "home", "rep", "mult", "h1", "x"])
 
     dealt = classes.select("label", "rep", "mult", "h1", "v").mapInArrow(assign, f"label {label_kind}, dim int, cell int, home boolean, rep {kind}, mult long, h1 long, x binary")
-    dealt = cut(dealt)
+    dealt = stored(dealt)
     # residents of a large cell are split into parts; those of part a visit the parts before it, visitors visit all
     large = dealt.where("home").groupBy("label", "dim", "cell").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cell)
     large = large.select(F.col("label").alias("_l"), F.col("dim").alias("_d"), F.col("cell").alias("_c"), F.ceil(F.col("_n") / F.lit(float(cell))).cast("int").alias("_g"))
@@ -117,10 +126,10 @@ def _join(classes: DataFrame, threshold: float, cell: int) -> DataFrame:
     dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_own")))).withColumn("home", F.col("home") & (F.col("part") == F.col("_own")))
     dealt = dealt.select("label", "dim", "cell", "part", "home", "rep", "mult", "h1", "x")
     dealt = dealt.repartition("label", "dim", "cell", "part").sortWithinPartitions("label", "dim", "cell", "part", F.col("home").desc())
-    return dealt.mapInArrow(_cells(threshold), f"rep {kind}, h1 long, n long, other {kind}")
+    return dealt.mapInArrow(_cells(threshold, number), f"rep {kind}, h1 long, n long, other {kind}")
 
 
-def _cells(threshold: float, at_once: int = 1024):
+def _cells(threshold: float, number: np.dtype, at_once: int = 1024):
     def linked(x: np.ndarray, y: np.ndarray, ux: np.ndarray, uy: np.ndarray) -> np.ndarray:
         c = ux @ uy.T
         yes = c >= threshold
@@ -203,7 +212,7 @@ def _cells(threshold: float, at_once: int = 1024):
                     if key is not None:
                         finish()
                     key, now = keys[i], Cell()
-                row = (reps[i], mults[i], hashes[i], np.frombuffer(b.column(8)[i].as_py()))
+                row = (reps[i], mults[i], hashes[i], np.frombuffer(b.column(8)[i].as_py(), number).astype(float))
                 if homes[i]:
                     now.rows.append(row)
                 else:
