@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presslens.llm import decontamination, langid, line_dedup, metric_join, mixing, packing, sharding, simhash, tokens, warc
-from presslens.llm.common import shared_dir
+from presslens.llm.common import folder
 from presslens.session import ship
 
 
@@ -45,9 +44,9 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    at = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    at = folder(spark, "warc")
     warc.write_bundles(pages, at)
-    read = warc.read_records(spark.read.parquet(at))
+    read = warc.read_records(spark, at)
     kind = dict(pages.dtypes)["page_id"]
     return read.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
