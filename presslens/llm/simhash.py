@@ -8,10 +8,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from presslens.llm.common import cut, split_hot
+from presslens.llm.common import cut, few, given_back, renamed, set_aside, split_hot, stored
 from presslens.llm.components import connected_components
 
 BITS = 64
@@ -39,6 +39,14 @@ def bit_sums(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(bits, starts, axis=0, dtype=np.int32).astype(np.int64)
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The fingerprint of one list of hashes."""
+    sums = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), SLICE):
+        sums += bit_sums(hashes[at : at + SLICE], np.zeros(1, np.int64))[0]
+    return int(np.packbits((2 * sums > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
+
+
 def fingerprints_of(texts: list[str | None], k: int = 4, seed: int = 42) -> np.ndarray:
     """A bit is 1 if it is set in over half of the shingles' hashes. A text without words has fingerprint zero."""
     counts, sizes = np.zeros((len(texts), BITS), np.int64), np.zeros(len(texts), np.int64)
@@ -221,15 +229,26 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, seed: int = 42
 
 
 def keep_smallest(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with one document of each group of found (doc_id, component_id): that with the smallest doc_id, and of rows that repeat that id the first by content. Rows without a doc_id stay."""
-    from pyspark.sql import Window
-
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    order = Window.partitionBy("_keep").orderBy(F.xxhash64(text_col), F.col(text_col))
-    named = docs.join(keep, F.col(id_col) == F.col("_keep")).withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row", "_keep")
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    """docs with one document of each group of found (doc_id, component_id): that with the smallest doc_id, and of rows that repeat that id the first by content. Rows without a doc_id stay.
 
-
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each group of near_duplicates(), see keep_smallest()."""
-    return keep_smallest(docs, near_duplicates(docs, **options), options.get("id_col", "doc_id"), options.get("text_col", "text"))
+    The texts of ids that don't repeat, nearly all, aren't shuffled unless the ids that stay are too many to broadcast.
+    """
+    keep = stored(found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n")))
+    rows, own = set_aside(docs)
+    rows = rows.withColumn("own_id", F.col(renamed(docs, id_col))).withColumn("text", F.col(renamed(docs, text_col)).cast("string"))
+    placed = rows.join(few(keep), F.col("own_id") == F.col("id"))
+    order = Window.partitionBy("id").orderBy(F.xxhash64("text"), F.col("text"))
+    first = placed.where("n > 1").withColumn("rank", F.row_number().over(order)).where("rank = 1")
+    kept = [x.select(*given_back(own)) for x in (placed.where("n = 1"), first, rows.where("own_id IS NULL"))]
+    return kept[0].unionByName(kept[1]).unionByName(kept[2])
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one document of each group, see keep_smallest(): groups of near_duplicates() or, if a similarity is given, of set_similarity.similar_documents()."""
+    if similarity is None:
+        found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    else:
+        from presslens.llm.set_similarity import similar_documents
+
+        found = similar_documents(docs, similarity=similarity, id_col=id_col, text_col=text_col, **options)
+    return keep_smallest(docs, found, id_col, text_col)

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from presslens.llm import langid, sharding  # noqa: E402
-from tests.llm.test_operators import DOCS, brute_fingerprint, brute_matches, odd_documents  # noqa: E402
+from tests.llm.test_operators import DOCS, brute_matches, odd_documents  # noqa: E402
+from tests.llm.test_set_similarity import brute_groups  # noqa: E402
 
 
 def test_stages(spark, sf):
@@ -20,14 +21,7 @@ def test_stages(spark, sf):
     assert first.columns == docs.columns
 
     second = stages["drop_near_duplicates"](spark, first, sf).cache()
-    fp = {r.doc_id: brute_fingerprint(r.text) for r in first.collect()}
-    root = {i: i for i in fp}
-    for _ in range(5):
-        for i in fp:
-            near = [j for j in fp if (fp[i] ^ fp[j]).bit_count() <= 4]
-            low = min(root[j] for j in near)
-            for j in near:
-                root[j] = low
+    root = brute_groups([(r.doc_id, r.text) for r in first.collect()])
     assert sorted(r.doc_id for r in second.collect()) == sorted(set(root.values())) and second.columns == docs.columns
 
     third = stages["decontaminate"](spark, second, sf).cache()
