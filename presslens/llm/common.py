@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,21 @@ def given_back(own: dict[str, str]) -> list[Column]:
     return [F.col(c).alias(name) for name, c in own.items()]
 
 
+def text_beside(docs: DataFrame, rows: DataFrame, own: dict[str, str], text_col: str) -> tuple[DataFrame, int]:
+    """The own columns of rows, and the place of the text as a string: among them, or after them if it isn't one of them or no string."""
+    cols, c = list(own.values()), renamed(docs, text_col)
+    if c in cols and dict(rows.dtypes)[c] == "string":
+        return rows.select(*cols), cols.index(c)
+    return rows.select(*cols, F.col(c).cast("string").alias("text")), len(cols)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that what a worker makes of one at a time stays small."""
+    for b in batches:
+        for start in range(0, max(b.num_rows, 1), rows):
+            yield b.slice(start, rows)
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, which clean() removes."""
     at = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
-from presslens.llm.common import given_back, renamed, set_aside, stored
+from presslens.llm.common import given_back, set_aside, slices, stored, text_beside
 
 #: Items of the benchmark, and bytes of their texts, that are held, sent and searched for at once; more go through the documents in further blocks.
 BLOCK, BLOCK_BYTES = 20_000, 16_000_000
@@ -217,7 +217,8 @@ def _searched(docs: DataFrame, benchmark: DataFrame, k: int, similarity: float,
     Each block of items is a pass over the documents; with several, what was found is written to the shared folder after each, so that a task holds one block's index.
     """
     rows, own = set_aside(docs, *replaced)
-    rows = rows.select(*own.values(), F.col(renamed(docs, text_col)).cast("string").alias("text"))
+    rows, place = text_beside(docs, rows, own, text_col)
+    before = len(rows.columns)
     item = benchmark.schema["item_id"].dataType
     new = StructType().add("item_ids", ArrayType(item)).add("similarities", ArrayType(DoubleType())).add("positions", ArrayType(IntegerType()))
     kinds = [to_arrow_type(f.dataType) for f in new.fields]
@@ -227,12 +228,12 @@ def _searched(docs: DataFrame, benchmark: DataFrame, k: int, similarity: float,
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value, k, radius)
-            for b in batches:
+            for b in slices(batches):
                 found = []
-                for t, *known in zip(*(b.column(i).to_pylist() if i > len(own) else b.column(i) for i in range(len(own), b.num_columns)), strict=True):
+                for t, *known in zip(b.column(place), *(b.column(i).to_pylist() for i in range(before, b.num_columns)), strict=True):
                     here = sorted(((index.ids[i], s, at) for i, (s, at) in find(t.as_py(), index, similarity).items()), key=lambda x: (x[0] is not None, x[0], x[2]))
                     found.append([x + [h[j] for h in here] for j, x in enumerate(known)])
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(own) + 1], *(pa.array([f[j] for f in found], kind) for j, kind in enumerate(kinds))], names=b.schema.names)
+                yield pa.RecordBatch.from_arrays([*b.columns[:before], *(pa.array([f[j] for f in found], kind) for j, kind in enumerate(kinds))], names=b.schema.names)
 
         return run
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from presslens.llm.common import given_back, renamed, set_aside, stored
+from presslens.llm.common import given_back, set_aside, slices, stored, text_beside
 
 UNDETERMINED = "und"
 #: Normal texts of fewer bytes are compressed by dictionaries of parts of the samples too: sizes are whole bytes, of which a short text has too few to tell languages apart.
@@ -141,15 +141,16 @@ NEW = ("lang_pred", "score", "rejected")
 
 def _predicted(docs: DataFrame, classifier: Classifier, text_col: str, *replaced: str) -> tuple[DataFrame, dict[str, str]]:
     rows, own = set_aside(docs, *replaced)
-    rows = rows.select(*own.values(), F.col(renamed(docs, text_col)).cast("string").alias("text"))
+    rows, place = text_beside(docs, rows, own, text_col)
+    schema = rows.select(*own.values()).schema
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
-        for b in batches:
-            found = [c.predict(t.as_py()) for t in b.column(b.num_columns - 1)]
+        for b in slices(batches):
+            found = [c.predict(t.as_py()) for t in b.column(place)]
             new = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], names=[*own.values(), *NEW])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], *new], names=[*own.values(), *NEW])
 
-    fields = [*rows.schema.fields[:-1], *StructType().add("lang_pred", "string").add("score", "double").add("rejected", "boolean").fields]
+    fields = [*schema.fields, *StructType().add("lang_pred", "string").add("score", "double").add("rejected", "boolean").fields]
     return rows.mapInArrow(run, StructType(fields)), own

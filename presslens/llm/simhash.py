@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from presslens.llm.common import cut, few, given_back, renamed, set_aside, split_hot, stored
+from presslens.llm.common import cut, few, given_back, renamed, set_aside, slices, split_hot, stored
 from presslens.llm.components import connected_components
 
 BITS = 64
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, k: int = 4, seed: int = 42, id_col: str = "doc
     """(doc_id, fp long) for every row: the 64 bits as a signed number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fp = fingerprints_of(b.column(1).to_pylist(), k, seed)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64), pa.int64())], names=["doc_id", "fp"])
 
