@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from presslens.llm.common import few, renamed, set_aside, stored
 from presslens.llm.components import connected_components
 
-#: Level by level: segments a line is cut into beyond the threshold, and how many pairs of lines may meet under a signature; if more would, signatures of the next level take its place.
-LEVELS = ((1, 64), (6, 512), (14, 1024))
+#: Level by level: segments a line is cut into beyond the threshold, and how many pairs of lines may be compared by sketches under a signature; if there are more, signatures of the next level take its place.
+#: A comparison takes about as many nanoseconds as a row of finer signatures, of which a line has hundreds, takes microseconds.
+LEVELS = ((1, 1 << 18), (6, 1 << 18), (14, 1 << 18))
 #: With how many lines of a signature that stays hot the others are tried, round by round, before those still apart are tried with each other.
 LEADERS = (4, 64)
 #: Pairs that a task verifies.
@@ -92,12 +93,22 @@ def shared(rows: DataFrame) -> DataFrame:
     return stored(dealt.join(tokens.hint("shuffle_hash"), "token").distinct())
 
 
-def met(rows: DataFrame, others: DataFrame) -> DataFrame:
-    """(a, b), a < b: the lines of rows and of others that share a token, as an entry of that in rows, differ in all gaps, and have different roots if there are roots."""
+def sketches(line: Column) -> tuple[Column, Column]:
+    """64 parities each: of how often letters occur, and pairs of neighbouring letters. An edit changes at most 2 of the first and 4 of the second."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))
+    parity = lambda hashes: F.aggregate(hashes, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(bit(x)))
+    letters = F.split(line, "")
+    return parity(F.transform(letters, lambda c: F.hash(c))), let(letters, lambda cs: parity(F.transform(cs, lambda c, i: F.hash(c, F.get(cs, i + 1)))))
+
+
+def met(rows: DataFrame, others: DataFrame, threshold: int) -> DataFrame:
+    """(a, b), a < b: the lines of rows and of others that share a token, as an entry of that in rows, differ in all gaps, have sketches that allow the threshold, and different roots if there are roots."""
     right = others.select(*[F.col(c).alias(f"{c}_") for c in others.columns])
     matter = (F.col("k1") != F.col("k1_")) & (F.col("entry") == 1)
     if rows is others:  # two entries meet once
         matter = matter & ((F.col("entry_") == 0) | (F.col("k1") < F.col("k1_")))
+    for c, most in (("letters", 2 * threshold), ("pairs_of_letters", 4 * threshold)):
+        matter = matter & (F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_"))) <= most)
     for c in rows.columns:
         if c.startswith("gap"):
             matter = matter & F.coalesce(F.col(c) != F.col(f"{c}_"), F.lit(True))
@@ -121,21 +132,25 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
 def edit_links(lines: DataFrame, threshold: int = 2, least: int = 16) -> DataFrame:
     """(a, b): links between different lines (k1, k2, line; of at least ``least`` characters, repeats allowed) whose edit distance is at most threshold, so many that they join all lines which such pairs join.
 
-    Lines meet under signatures of threshold + 1 segments. Where too many pairs would meet (LEVELS) under one, as in a large group of near copies of one line, its lines meet under signatures of more segments instead, whose larger part is
+    Lines meet under signatures of threshold + 1 segments; those whose sketches are too far apart are discarded, the others verified. Where too many pairs would meet (LEVELS) under one, as in a large group of near copies of one line, its lines meet under signatures of more segments instead, whose larger part is
     equal: lines that differ in other places than their edits allow no longer do. Under those that stay hot, lines are tried with a few of them first; only lines that are still in different components are then tried with each other.
     """
     found = shared(signatures(lines, threshold + LEVELS[0][0], threshold, least))
-    texts = stored(lines.join(few(found.select(F.col("k1").alias("_k")).distinct()), F.col("k1") == F.col("_k"), "left_semi").select("k1", "k2", "line").distinct())
+    texts = lines.join(few(found.select(F.col("k1").alias("_k")).distinct()), F.col("k1") == F.col("_k"), "left_semi").select("k1", "k2", "line").distinct()
+    texts = stored(texts.repartition("k1").withColumns(dict(zip(("letters", "pairs_of_letters"), sketches(F.col("line")), strict=True))))
+    told = few(texts.select("k1", "letters", "pairs_of_letters").distinct())
     pairs, hot = None, None
     for level, (more, most) in enumerate(LEVELS):
         if level:
             named = hot.select(F.col("k1").alias("_k")).distinct()
             found = shared(signatures(texts.join(named, F.col("k1") == F.col("_k"), "left_semi"), threshold + more, threshold, least))
+        found = found.join(told, "k1")
         tokens = found.groupBy("token").agg((F.sum("entry") * (F.count(F.lit(1)) - 1)).alias("pairs"))
-        cold, hot = (found.join(tokens.where(F.col("pairs") > most).select("token"), "token", how) for how in ("left_anti", "left_semi"))
-        meet = met(cold, cold)
+        many = stored(tokens.where(F.col("pairs") > most).select("token"))
+        cold, hot = (found.join(few(many), "token", how) for how in ("left_anti", "left_semi"))
+        meet = met(cold, cold, threshold)
         pairs = meet if pairs is None else pairs.unionByName(meet).distinct()
-        if hot.isEmpty():
+        if many.isEmpty():
             return verified(stored(pairs), texts, threshold)
     tried = stored(pairs)
     links, hot = stored(verified(tried, texts, threshold)), stored(hot)
@@ -150,7 +165,7 @@ def edit_links(lines: DataFrame, threshold: int = 2, least: int = 16) -> DataFra
         if most:
             order = Window.partitionBy("token").orderBy(F.xxhash64("k1", F.lit(r)), "k1")  # one order for all tokens, so that groups that overlap have the same leaders
             lead = hot.withColumn("at", F.row_number().over(order)).where(F.col("at") <= most).drop("at")
-        meet = met(hot, hot) if lead is hot else met(hot, lead).unionByName(met(lead, hot)).distinct()
+        meet = met(hot, hot, threshold) if lead is hot else met(hot, lead, threshold).unionByName(met(lead, hot, threshold)).distinct()
         now = stored(meet.join(tried, ["a", "b"], "left_anti"))
         links = stored(links.unionByName(verified(now, texts, threshold)))
         tried, hot = tried.unionByName(now), hot.drop("root")
