@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from presslens.queries import QUERIES, SQL, annotated, corpora, texts  # noqa: F401  importing them registers their queries
+from presslens.queries import QUERIES, SQL, annotated, corpora, storage, texts  # noqa: F401  importing them registers their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The entities that are unescaped, & last.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+#: Every named entity of HTML 4 and apos, from the standard library's table; a space that doesn't break is a space here.
+NAMED = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
+AMPERSANDS = ["&amp;", "&#38;", "&#x26;", "&#X26;"]
 #: Names of meta elements that hold a publication date, the first found wins.
 DATE_NAMES = ["pubdate", "publish-date", "publication_date", "date", "Date", "DC.date.issued"]
 LEAST_CHARS = 200
 
 
 def unescape(c: Column) -> Column:
-    for entity, char in ENTITIES.items():
-        c = F.regexp_replace(c, entity, char)
-    return c
+    """Named and numeric entities as the characters they stand for, ampersands last so that nothing is unescaped twice. What is no entity stays."""
+    named = F.create_map(*[F.lit(x) for kv in NAMED.items() for x in kv])
+
+    def meaning(e: Column) -> Column:
+        body = F.substring(e, F.lit(2), F.length(e) - 2)
+        number = F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, F.lit(3), F.length(body)), 16, 10)).when(body.startswith("#"), F.substring(body, F.lit(2), F.length(body))).cast("long")
+        real = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF) & (number != 160)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(real, number)), 8, "0")), "UTF-32")
+        return F.when(number == 160, F.lit(" ")).when(number.isNotNull(), F.coalesce(char, e)).otherwise(F.coalesce(F.try_element_at(named, body), e))
+
+    found = F.array_except(F.array_distinct(F.regexp_extract_all(c, F.lit(r"(&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);)"), 1)), F.array(*[F.lit(x) for x in AMPERSANDS]))
+    plain = F.aggregate(found, c, lambda text, e: F.replace(text, e, meaning(e)))
+    for x in AMPERSANDS:
+        plain = F.replace(plain, F.lit(x), F.lit("&"))
+    return F.when(c.contains("&"), plain).otherwise(c)
 
 
 def to_text(html: Column) -> Column:

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from presslens.functions.html import unescape
+
 #: Letters, digits and underscore of any script: Java's own \w is ASCII.
 WORD_CHARS = r"[\p{L}\p{N}_]+"
 #: Titles, honorifics and post-nominal letters that are no part of a name.
@@ -129,7 +131,7 @@ def simple_name(c: Column) -> Column:
     """One leading title and an ' of ...' tail dropped, each word capitalised, those after a hyphen or an apostrophe too."""
     t = F.regexp_replace(F.regexp_replace(F.trim(c), r"^(?i:mr|mrs|ms|miss|sir|dame|lord|lady|baroness|baron|dr)\.?\s+", ""), r"(?i)\s+of\s+.*$", "")
     parts = F.regexp_extract_all(F.lower(t), F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
-    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 10_000))), "")
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, F.lit(2), F.length(p)))), "")
 
 
 def first_last(c: Column) -> Column:
@@ -173,19 +175,35 @@ def pair_text(text: Column, cause: Column, effect: Column) -> Column:
     return F.format_string("[TEXT] %s [CAUSE] %s [/CAUSE] [EFFECT] %s [/EFFECT]", text, cause, effect)
 
 
+def common_subsequence(a: Column, b: Column) -> Column:
+    """The length of the longest common subsequence of two short texts: a row of the usual table for each character of a."""
+    chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+
+    def row(before: Column, x: Column, ys: Column) -> Column:
+        cell = lambda done, j: F.when(x == F.get(ys, j - 1), F.get(before, j - 1) + 1).otherwise(F.greatest(F.get(before, j), F.element_at(done, -1)))
+        return F.aggregate(F.sequence(F.lit(1), F.size(ys)), F.array(F.lit(0)), lambda done, j: F.concat(done, F.array(cell(done, j))))
+
+    def walk(ys: Column) -> Column:
+        start = F.array_repeat(F.lit(0), F.size(ys) + 1)
+        return F.when(F.size(ys) == 0, 0).otherwise(F.aggregate(chars(a), start, lambda before, x: row(before, x, ys), lambda r: F.element_at(r, -1)))
+
+    return F.get(F.transform(F.array(chars(b)), walk), 0)
+
+
 def token_sort_ratio(a: Column, b: Column) -> Column:
-    """0 to 100: likeness of two names whatever the order of their words. The edit distance of the sorted words over the longer length."""
+    """0 to 100: likeness of two names whatever the order of their words: twice the longest common subsequence of the sorted words over both lengths, as the tagger has it. Two empty names are alike."""
     sort = lambda c: F.array_join(F.array_sort(F.split(squeeze(c, lower=True), " ")), " ")
     x, y = sort(a), sort(b)
-    longest = F.greatest(F.length(x), F.length(y))
-    return F.when(longest == 0, F.lit(100.0)).otherwise((F.lit(1.0) - F.levenshtein(x, y) / longest) * 100)
+    both = F.length(x) + F.length(y)
+    return F.when(both == 0, F.lit(100.0)).otherwise(F.lit(200.0) * common_subsequence(x, y) / both)
 
 
 def name_from_bio(c: Column) -> Column:
     """The first name that a biography's phrases introduce: of two to five words, none of them of, the, and, upon."""
     found = []
+    plain = unescape(F.coalesce(c, F.lit("")))
     for p in NAME_PHRASES:
-        name = F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), p + CAPITALISED, 1), F.lit(""))
+        name = F.nullif(F.regexp_extract(plain, p + CAPITALISED, 1), F.lit(""))
         words = F.split(F.lower(name), r"\s+")
         found.append(F.when(F.size(words).between(2, 5) & ~F.arrays_overlap(words, F.array(*[F.lit(w) for w in ("of", "the", "and", "upon")])), name))
     return F.coalesce(*found)

@@ -67,5 +67,6 @@ def first_string(c: Column) -> Column:
 
 
 def text_or_object(json: Column) -> Column:
-    """A JSON value that is a plain text or an object with the text under #text."""
-    return F.coalesce(F.get_json_object(json, "$.#text"), F.nullif(F.regexp_replace(json, '^"|"$', ""), F.lit("")))
+    """A JSON value that is a plain text or an object with the text under #text; null for an object without."""
+    plain = F.when(~json.startswith("{"), F.nullif(F.regexp_replace(json, '^"|"$', ""), F.lit("")))
+    return F.coalesce(F.get_json_object(json, "$.#text"), plain)

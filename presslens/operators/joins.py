@@ -38,13 +38,13 @@ def matching_mentions(mentions: DataFrame, targets: DataFrame, text: str, patter
 def fuzzy_best(names: DataFrame, name: str, known: DataFrame, known_name: str, threshold: float = 85.0) -> DataFrame:
     """Each name with the most alike known one at or above the threshold; of equals the first by name.
 
-    Names are tried with every known one of a length that allows the threshold, since the edit distance is at least the difference in length.
+    Names are tried with every known one of a length that allows the threshold, since no more than the shorter name can be common.
     That is exact, at the price of a comparison for each such pair: the known names are meant to be few.
     """
     length = lambda c: F.length(squeeze(F.col(c)))
     a = names.select(name).distinct().withColumn("_n", length(name))
     b = known.select(F.col(known_name).alias("_known")).distinct().withColumn("_m", length("_known"))
-    near = F.least("_n", "_m") * 100.0 >= F.greatest("_n", "_m") * F.lit(float(threshold)) - 1e-6
+    near = F.least("_n", "_m") * 200.0 >= (F.col("_n") + F.col("_m")) * F.lit(float(threshold)) - 1e-6
     pairs = a.join(b, near).select(name, "_known").withColumn("score", token_sort_ratio(F.col(name), F.col("_known"))).where(F.col("score") >= threshold)
     best = pairs.groupBy(name).agg(F.min(F.struct(-F.col("score"), F.col("_known").alias("known"))).alias("b"))
     return best.select(name, F.col("b.known").alias("match"), F.round(-F.col("b.col1"), 6).alias("score"))
@@ -97,7 +97,10 @@ def count_names(docs: DataFrame, text: Column, names: DataFrame, name: str = "na
     tokens = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
     n = names.select(name).distinct().withColumn("_words", F.regexp_extract_all(F.lower(name), F.lit(r"([\p{L}\p{N}]+)"), 1)).where(F.size("_words") > 0)
     n = n.withColumn("_first", F.element_at("_words", 1))
-    t = docs.select(tokens.alias("_tokens")).select(F.posexplode("_tokens").alias("_at", "_token"), "_tokens")
-    met = t.join(F.broadcast(n.select("_first", "_words", name)) if n.count() <= 100_000 else n, F.col("_token") == F.col("_first")).where(F.slice("_tokens", F.col("_at") + 1, F.size("_words")) == F.col("_words"))
+    longest = n.agg(F.max(F.size("_words"))).first()[0] or 1
+    # each token carries as many words as the longest name has, not the whole text; equal stretches are counted before they meet names
+    t = docs.select(tokens.alias("_tokens")).select(F.explode(F.transform("_tokens", lambda x, i: F.slice("_tokens", i + 1, F.lit(longest)))).alias("_here"))
+    t = t.withColumn("_token", F.get("_here", F.lit(0)))
+    met = t.join(F.broadcast(n.select("_first", "_words", name)) if n.count() <= 100_000 else n, F.col("_token") == F.col("_first")).where(F.slice("_here", F.lit(1), F.size("_words")) == F.col("_words"))
     found = met.groupBy(name).agg(F.count(F.lit(1)).alias("frequency"))
     return names.select(name).distinct().join(found, name, "left").withColumn("frequency", F.coalesce("frequency", F.lit(0)).cast("long"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from presslens.functions.text import nominalisation, squeeze
+from presslens.functions.text import nominalisation, pair_text, squeeze
 from presslens.operators.dedupe import best_edges, keep_first
 from presslens.operators.joins import smallest_span
 
@@ -154,14 +156,14 @@ def marker_edges(d: _Document) -> DataFrame:
 def attribution_edges(d: _Document) -> DataFrame:
     """blame Y for Z and the like. hold counts only with responsible, accountable or culpable below it; accuse takes a clause of up to 140 characters too."""
     v = d.tokens.where("pos = 'VERB'").select("doc_id", "tok_i", F.lower("lemma").alias("verb")).where(F.col("verb").isin(list(ATTRIBUTION)))
-    held = d.tokens.where(F.lower("lemma").isin(HELD)).select(F.col("doc_id").alias("_d"), F.col("tok_i").alias("_i"), F.col("head_i").alias("_h"))
-    up = d.tokens.select(F.col("doc_id").alias("_ud"), F.col("tok_i").alias("_ui"), F.col("head_i").alias("_uh"))
-    below = held
-    reach = held.select("_d", F.col("_h").alias("_a"))
-    for _ in range(4):  # ancestors of such a word, a few steps up
-        below = below.join(up, (F.col("_d") == F.col("_ud")) & (F.col("_h") == F.col("_ui"))).select("_d", "_i", F.col("_uh").alias("_h"))
-        reach = reach.unionByName(below.select("_d", F.col("_h").alias("_a")))
-    reach = reach.distinct()
+    held = d.tokens.where(F.lower("lemma").isin(HELD)).select("doc_id", "head_i")
+    heads = d.tokens.join(held.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("tok_i", "head_i"))).alias("heads"))
+
+    def up(chain: Column) -> Column:  # a step to the head; the root is its own
+        above = F.element_at(F.col("heads"), F.element_at(chain, -1))
+        return F.when(above.isNull() | F.array_contains(chain, above), chain).otherwise(F.concat(chain, F.array(above)))
+
+    reach = held.join(heads, "doc_id").select(F.col("doc_id").alias("_d"), F.explode(F.aggregate(F.map_keys("heads"), F.array("head_i"), lambda chain, _: up(chain))).alias("_a")).distinct()
     ok = v.join(reach, (F.col("doc_id") == F.col("_d")) & (F.col("tok_i") == F.col("_a")), "left_semi")
     v = v.where("verb <> 'hold'").unionByName(ok.where("verb = 'hold'"))
     v = d.child(v, "tok_i", "object", ["dobj", "obj"])
@@ -190,6 +192,17 @@ def edges(tokens: DataFrame, spans: DataFrame, snippets: DataFrame) -> DataFrame
     return best_edges(named, "_seq").select("person", "article_index", "snippet_index", "relation", "cause", "effect", "confidence", "evidence", F.coalesce("sent_id", F.lit(0)).alias("sent_id"))
 
 
+def classified(classify: Callable[[list[str]], list[float]], text: Column, cause: Column, effect: Column) -> Column:
+    """The probability a classifier gives to pairs of cause and effect, marked in their text. It is called with a batch of texts at a time, in the workers; it has to be picklable, and loads what it needs when first called."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(classify(texts.tolist()), dtype=float)
+
+    return run(pair_text(text, cause, effect))
+
+
 def rescore(found: DataFrame, probability: Column, threshold: float = 0.55) -> DataFrame:
     """Edges whose confidence times the classifier's probability reaches the threshold."""
     combined = F.col("confidence") * probability

@@ -75,8 +75,10 @@ def labelling_sheet(docs: DataFrame, text: str, key: str, n: int, seed: int = 42
 
 def nearest_topic(vectors: DataFrame, centroids: DataFrame, key: str, vector: str, most: float | None = None) -> DataFrame:
     """(key, topic_id, distance): the nearest centroid (topic_id, c), which are few; farther than ``most`` is the outlier -1."""
-    d = F.sqrt(F.aggregate(F.zip_with(vector, "c", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x))
-    best = vectors.select(key, vector).crossJoin(few(centroids, 10_000)).groupBy(key).agg(F.min(F.struct(d.alias("distance"), F.col("topic_id").alias("topic_id"))).alias("b"))
+    apart = lambda c: F.sqrt(F.aggregate(F.zip_with(vector, c, lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x))
+    held = few(centroids, 10_000).agg(F.collect_list(F.struct("topic_id", "c")).alias("all"))  # one row for all, so that each vector finds its own in place
+    near = F.array_min(F.transform("all", lambda x: F.struct(apart(x["c"]).alias("distance"), x["topic_id"].alias("topic_id"))))
+    best = vectors.select(key, vector).join(F.broadcast(held), how="cross").select(key, near.alias("b"))
     topic = F.when(F.col("b.distance") > most, -1).otherwise(F.col("b.topic_id")) if most is not None else F.col("b.topic_id")
     return best.select(key, topic.alias("topic_id"), F.col("b.distance").alias("distance"))
 

@@ -48,12 +48,14 @@ def word_probabilities(df: DataFrame, key: str, text: str, dictionary: DataFrame
     top = F.array_position(F.array(*p), F.array_max(F.array(*p)))
     met = df.select(key, F.explode(word_tokens(F.col(text))).alias("word")).join(dictionary, "word")
     weight = lambda i: F.when(top == i + 1, p[i]).otherwise(F.lit(0.0)) if single else p[i]
+    # sums of decimals are exact, whatever the order
+    mean = lambda c: F.sum(c.cast("decimal(20,10)")).cast("double") / F.count(F.lit(1))
     aggs = []
     for i, f in enumerate(FOUNDATIONS):
         if vice_virtue:
-            aggs += [F.avg(F.when(F.col(f"{f}_sent") > 0, weight(i)).otherwise(0.0)).alias(f"{f}_virtue"), F.avg(F.when(F.col(f"{f}_sent") < 0, weight(i)).otherwise(0.0)).alias(f"{f}_vice")]
+            aggs += [mean(F.when(F.col(f"{f}_sent") > 0, weight(i)).otherwise(0.0)).alias(f"{f}_virtue"), mean(F.when(F.col(f"{f}_sent") < 0, weight(i)).otherwise(0.0)).alias(f"{f}_vice")]
         else:
-            aggs += [F.avg(weight(i)).alias(f"{f}_p"), F.avg(F.when(F.lit(True) if not single else top == i + 1, F.col(f"{f}_sent")).otherwise(0.0)).alias(f"{f}_sent")]
+            aggs += [mean(weight(i)).alias(f"{f}_p"), mean(F.when(F.lit(True) if not single else top == i + 1, F.col(f"{f}_sent")).otherwise(0.0)).alias(f"{f}_sent")]
     out = met.groupBy(key).agg(F.count(F.lit(1)).alias("moral_words"), *aggs)
     if vice_virtue:
         return out

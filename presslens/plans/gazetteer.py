@@ -50,6 +50,16 @@ def build(commons: DataFrame, lords: DataFrame, history: DataFrame, texts: dict[
     return one.select("id", "name_final", F.col("display").alias("name_api_display"), F.col("full_title").alias("name_api_full_title"), "name_normalized", "name_resolved", "resolution_method", "party", "gender", "constituency", F.col("start").try_cast("date").alias("membership_start"), F.col("end").try_cast("date").alias("membership_end"))
 
 
+def placed(gazetteer: DataFrame) -> DataFrame:
+    """The gazetteer with place, each member's number in the order of names (by code point, then id), as its file is sorted. Ranges of names are sorted apart, so that no task has all of them."""
+    ranged = gazetteer.repartitionByRange("name_final", "id").sortWithinPartitions("name_final", "id").withColumn("part", F.spark_partition_id())
+    ranged = ranged.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("name_final", "id")))
+    ranged = ranged.persist()
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    return ranged.join(F.broadcast(starts), "part").withColumn("place", (F.col("before") + F.col("at")).cast("int")).drop("part", "at", "before").orderBy("name_final", "id")
+
+
 def aliases(gazetteer: DataFrame, name: str = "name_final", extra: str | None = None, tag: str | None = None) -> DataFrame:
     """(name, alias, tag, kind): each person's name, listed aliases, surname unless it is a word too, and first and last name; kind tells them apart."""
     parts = F.split(F.trim(name), r"\s+")

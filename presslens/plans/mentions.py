@@ -13,6 +13,7 @@ from presslens.functions.text import sentences, tag_of, tags
 
 #: Capitalised words in a row: who the rule-based annotator takes for people.
 CAPITALS = re.compile(r"\b[A-Z][\w'’-]+(?:\s+[A-Z][\w'’-]+)*")
+WORD = re.compile(r"\w+")
 #: So many names at most are compiled into the workers' patterns; a gazetteer is far smaller.
 MOST_NAMES = 200_000
 
@@ -23,15 +24,19 @@ class Tagger:
     def __init__(self, names: dict[str, str], gated: dict[str, set[str]], people: Callable[[str], list[str]] | None = None, gate: str = "person", fuzzy: float | None = None) -> None:
         self.names = names
         several = sorted((n for n in names if " " in n or gate == "none"), key=lambda n: (-len(n), n))
-        self.patterns = [(re.compile(rf"\b{re.escape(n)}\b", re.IGNORECASE), names[n], n.split()[0]) for n in several]
+        self.by_word: dict[str, list[tuple[int, re.Pattern, str]]] = {}
+        for i, n in enumerate(several):
+            self.by_word.setdefault(next(iter(WORD.findall(n.lower())), ""), []).append((i, re.compile(rf"\b{re.escape(n)}\b", re.IGNORECASE), names[n]))
         self.gated, self.people, self.gate, self.fuzzy = gated, people or CAPITALS.findall, gate, fuzzy
 
     def __call__(self, text: str | None) -> str:
         if text is None or not text.strip():
             return ""
         out, found, low = text, set(), text.lower()
-        for pattern, tag, first in self.patterns:
-            if first in low and pattern.search(out):  # the cheap test spares most patterns
+        # only names whose first word the text has, in the order of all: the work follows the text, not the gazetteer
+        fits = sorted((x for w in {"", *WORD.findall(low)} for x in self.by_word.get(w, [])), key=lambda x: x[0])
+        for _, pattern, tag in fits:
+            if pattern.search(out):
                 found.add(tag)
                 out = pattern.sub(tag, out)
         if self.gate == "none":
@@ -50,9 +55,8 @@ class Tagger:
         return out
 
     def _nearest(self, name: str) -> str | None:
-        exact = self.names.get(name.lower())
-        if exact:
-            return exact
+        if name.lower() in self.names:  # whole names are tagged by now, and a lone word only where its person was found
+            return None
         scored = ((sort_ratio(name.lower(), n), n) for n in self.names if " " in n)
         best = max(scored, key=lambda x: x[0], default=(0.0, ""))
         return self.names[best[1]] if best[0] >= self.fuzzy else None

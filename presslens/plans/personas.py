@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from presslens.functions.text import persona_name, pronoun
@@ -42,6 +42,33 @@ def pattern_events(chunks: DataFrame, patterns: DataFrame) -> DataFrame:
     return c.join(few(patterns, 10_000), F.rlike(F.lower("text"), F.col("pattern"))).select("doc_id", "persona", F.col("root_dep").alias("role"), F.lower("head_lemma").alias("verb"), F.lower("text").alias("surface"))
 
 
+class PeopleWords:
+    """Words that stand for people in pattern mode: set() replaces them, add() adds to them. Each is a persona of its own."""
+
+    def __init__(self, words: list[str] | None = None) -> None:
+        self.words: list[str] = []
+        self.add(words or [])
+
+    def set(self, words: list[str]) -> PeopleWords:
+        self.words = []
+        return self.add(words)
+
+    def add(self, words: list[str]) -> PeopleWords:
+        self.words += [w for w in dict.fromkeys(x.strip().lower() for x in words) if w and w not in self.words]
+        return self
+
+    def relation(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(w,) for w in self.words], "word string")
+
+
+def people_word_events(chunks: DataFrame, words: DataFrame) -> DataFrame:
+    """(doc_id, persona, role, verb, surface) of subject and object chunks that hold a word for people (words: word): an equi-join on the chunks' words."""
+    c = chunks.where(F.col("root_dep").isin("nsubj", "dobj")).withColumn("surface", F.lower("text"))
+    w = words.select(F.lower("word").alias("persona")).distinct()
+    held = c.withColumn("persona", F.explode(F.array_distinct(F.split(F.trim("surface"), r"\s+"))))
+    return held.join(w, "persona").select("doc_id", "persona", F.col("root_dep").alias("role"), F.lower("head_lemma").alias("verb"), "surface")
+
+
 def cluster_names(coref: DataFrame) -> DataFrame:
     """(doc_id, cluster_id, persona): the pronoun that every mention is a form of, else the first mention without determiner and punctuation."""
     named = coref.withColumn("_p", pronoun(F.trim("text")))
@@ -147,11 +174,10 @@ class PersonaScorer:
 
     def bootstrap(self, replicates: int, seed: int = 0) -> DataFrame:
         """(persona, score, sd, replicates): mean and population deviation of scores over resampled documents, each over the persona's verb arguments in that resample; a resample without the persona doesn't count."""
-        drawn = resamples(self.args.select("doc_id").distinct(), replicates, "doc_id", seed)
+        times = resamples(self.args, replicates, "doc_id", seed)
         top = self.scored.groupBy("doc_id", "persona").agg(F.sum(F.col("cnt") * F.col("score")).alias("s"))
         n = self.args.groupBy("doc_id", "persona").agg(F.sum("cnt").alias("n"))
         one = n.join(top, ["doc_id", "persona"], "left")
-        times = drawn.groupBy("b", "doc_id").agg(F.count(F.lit(1)).alias("t"))
         r = times.join(one, "doc_id").groupBy("b", "persona").agg(F.sum(F.col("t") * F.col("s")).alias("s"), F.sum(F.col("t") * F.col("n")).alias("n")).where("s IS NOT NULL")
         return r.groupBy("persona").agg(F.avg(F.col("s") / F.col("n")).alias("score"), F.stddev_pop(F.col("s") / F.col("n")).alias("sd"), F.count(F.lit(1)).alias("replicates"))
 

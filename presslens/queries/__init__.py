@@ -48,3 +48,27 @@ def constant(spark: SparkSession, rows: list[tuple], names: str, kinds: str | No
 def named(rows: list[tuple], name: str, names: str) -> str:
     """A fixed relation as a CTE."""
     return f"{name}({names}) AS ({values(rows)})"
+
+
+def _cases(rows: list[tuple]) -> int:
+    return max(r[0] for r in rows) + 1
+
+
+def spread(spark: SparkSession, sf_dir: str, rows: list[tuple], names: str, kinds: str, of: str = "customer", key: str = "c_custkey") -> DataFrame:
+    """Fixed cases dealt over a whole table: each row of it has the rows of case key % n, the first column of rows. {s} in a text becomes a letter that the key decides."""
+    from pyspark.sql import functions as F
+
+    t = constant(spark, rows, "case_, " + names, "int, " + kinds)
+    letter = F.chr(F.lit(97) + F.col(key) % 26)
+    texts = {n.strip() for n, k in zip(names.split(","), kinds.split(","), strict=True) if k.strip() == "string"}
+    own = table(spark, sf_dir, of).select(key, (F.col(key) % _cases(rows)).cast("int").alias("case_"))
+    return own.join(F.broadcast(t), "case_").select(key, *[F.replace(c, F.lit("{s}"), letter).alias(c) if c in texts else F.col(c) for c in t.columns if c != "case_"])
+
+
+def spread_sql(name: str, rows: list[tuple], names: str, kinds: str, of: str = "customer", key: str = "c_custkey") -> str:
+    """The same as CTEs."""
+    cols = [(f'"{n.strip()}"', k.strip()) for n, k in zip(names.split(","), kinds.split(","), strict=True)]
+    letter = f"chr(CAST(97 + {key} % 26 AS INTEGER))"
+    out = ", ".join(f"replace(CAST({c} AS VARCHAR), '{{s}}', {letter}) AS {c}" if k == "string" else f"CAST({c} AS {k}) AS {c}" for c, k in cols)
+    quoted = ", ".join(c for c, _ in cols)
+    return f"{name}_cases(case_, {quoted}) AS ({values(rows)}), {name} AS (SELECT {key}, {out} FROM {of} JOIN {name}_cases ON {key} % {_cases(rows)} = case_)"

@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from presslens.functions import text as T
 from presslens.operators import joins as J
-from presslens.plans import annotate, causal, gazetteer, personas, snippets
-from presslens.queries import constant, named, query, table
+from presslens.operators.sampling import AT_MOST
+from presslens.plans import causal, gazetteer, personas, snippets
+from presslens.queries import constant, named, query, spread, spread_sql, table
 
 LEXICON = [("click", 1.0, -1.0), ("view", -1.0, 1.0), ("purchase", 0.0, 0.0), ("error", -1.0, 0.0)]
 ARGS_SQL = f"""{named(LEXICON, "lex", "verb, agent, theme")}, a AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS doc_id, 'p' || user_id AS persona, CASE WHEN event_id % 2 = 0 THEN 'nsubj' ELSE 'dobj' END AS role, event_type AS verb, count(*) AS cnt FROM events GROUP BY ALL),
@@ -70,9 +71,8 @@ def documents_of(spark, d):
 
 
 @query("agg21_bootstrap", f"""
-    WITH {ARGS_SQL}, docs AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM (SELECT DISTINCT doc_id FROM a)), c AS (SELECT count(*) AS n FROM docs),
-    draws AS (SELECT b, CAST(('0x' || substr(md5('0|' || b || '|' || slot), 1, 15)) AS BIGINT) % n AS pos FROM c, (SELECT unnest(range(20)) AS b), LATERAL (SELECT unnest(range(n)) AS slot)),
-    t AS (SELECT b, doc_id, count(*) AS t FROM draws JOIN docs USING (pos) GROUP BY 1, 2),
+    WITH {ARGS_SQL}, draws AS (SELECT b, doc_id, CAST(('0x' || substr(md5('0|' || b || '|' || doc_id), 1, 13)) AS BIGINT)::DOUBLE / {float(16**13)!r} AS u FROM (SELECT DISTINCT doc_id FROM a), (SELECT unnest(range(20)) AS b)),
+    t AS (SELECT b, doc_id, len(list_filter({AT_MOST!r}::DOUBLE[], lambda x: u >= x)) AS t FROM draws WHERE u >= {AT_MOST[0]!r}),
     one AS (SELECT doc_id, persona, n, sc FROM (SELECT doc_id, persona, sum(cnt) AS n FROM a GROUP BY 1, 2) LEFT JOIN (SELECT doc_id, persona, sum(cnt * score) AS sc FROM s GROUP BY 1, 2) USING (doc_id, persona)),
     r AS (SELECT b, persona, sum(t * sc) / sum(t * n) AS score FROM t JOIN one USING (doc_id) GROUP BY 1, 2 HAVING sum(t * sc) IS NOT NULL)
     SELECT persona, round(avg(score), 6) AS score, round(stddev_pop(score), 6) AS sd, count(*) AS replicates FROM r GROUP BY persona""")
@@ -81,185 +81,255 @@ def bootstrap(spark, d):
     return x.select("persona", F.round("score", 6).alias("score"), F.round("sd", 6).alias("sd"), "replicates")
 
 
-LABELLED = [("have", "power_agent", "agency_pos"), ("beg", "power_theme", "agency_neg"), ("see", None, "agency_equal"), ("beg", "power_agent", None)]
+EVENTS = {"of": "events", "key": "event_id"}
+LABELLED = [(0, "have{s}", "power_agent", "agency_pos", 0), (0, "beg", "power_theme", "agency_neg", 1), (0, "see{s}", None, "agency_equal", 2), (0, "beg", "power_agent", None, 3), (1, "have{s}", "power_theme", "agency_pos", 0)]
+LABELLED_NAMES, LABELLED_KINDS = "verb, power, agency, seq", "string, string, string, int"
 
 
-@query("dom10_label_lexicon", "VALUES ('have', 1.0::DOUBLE, -1.0::DOUBLE), ('beg', 1.0::DOUBLE, -1.0::DOUBLE)".replace("VALUES", "SELECT * FROM (VALUES") + ") AS t(verb, agent, theme)")
+@query("dom10_label_lexicon", f"""
+    WITH {spread_sql("l", LABELLED, LABELLED_NAMES, LABELLED_KINDS)}, u AS (SELECT DISTINCT verb, power, c_custkey * 10 + seq AS seq FROM l WHERE power IN ('power_agent', 'power_theme')),
+    one AS (SELECT verb, arg_max(power, seq) AS power FROM u GROUP BY verb)
+    SELECT verb, CASE power WHEN 'power_agent' THEN 1.0 ELSE -1.0 END::DOUBLE AS agent, CASE power WHEN 'power_agent' THEN -1.0 ELSE 1.0 END::DOUBLE AS theme FROM one""")
 def label_lexicon(spark, d):
-    """Of a verb that repeats the last label counts."""
-    x = constant(spark, [(*r, i) for i, r in enumerate(LABELLED)], "verb, power, agency, seq", "string, string, string, int")
-    return personas.label_lexicon(x, "power", "seq")
+    """Of a verb that repeats the last label counts; a label of neither side gives no row."""
+    x = spread(spark, d, LABELLED, LABELLED_NAMES, LABELLED_KINDS)
+    return personas.label_lexicon(x.withColumn("seq", F.col("c_custkey") * 10 + F.col("seq")).where("power IS NOT NULL"), "power", "seq")
 
 
-CHUNKS = [(1, 0, 1, "He", 0, "nsubj", "PRON", "abandon"), (1, 3, 5, "the doctor", 4, "dobj", "NOUN", "abandon"), (1, 7, 8, "who", 7, "nsubj", "PRON", "see"), (2, 0, 2, "My Mother", 1, "nsubj", "NOUN", "see"), (2, 4, 5, "him", 4, "dobj", "PRON", "see"), (2, 9, 10, "it", 9, "pobj", "PRON", "of")]
-CHUNK_NAMES, CHUNK_KINDS = "doc_id, start, end, text, root_i, root_dep, root_pos, head_lemma", "bigint, int, int, string, int, string, string, string"
-COREF = [(1, 0, 0, 0, 1, "He", 0, "nsubj", "he", "abandon"), (1, 0, 1, 7, 8, "who", 0, "nsubj", "who", "see"), (2, 1, 0, 4, 5, "him", 0, "dobj", "him", "see"), (2, 1, 1, 6, 7, "his", 1, "poss", "his", "dog")]
-COREF_NAMES, COREF_KINDS = "doc_id, cluster_id, mention_id, start, end, text, sent_id, root_dep, root_lemma, head_lemma", "bigint, int, int, int, int, string, int, string, string, string"
+CHUNKS = [(0, 0, 1, "He", 0, "nsubj", "PRON", "abandon"), (0, 3, 5, "the doctor{s}", 4, "dobj", "NOUN", "abandon"), (0, 7, 8, "who", 7, "nsubj", "PRON", "see"), (1, 0, 2, "My Mother{s}", 1, "nsubj", "NOUN", "see{s}"), (1, 4, 5, "him", 4, "dobj", "PRON", "see"), (1, 9, 10, "it", 9, "pobj", "PRON", "of")]
+CHUNK_NAMES, CHUNK_KINDS = "start, end, text, root_i, root_dep, root_pos, head_lemma", "int, int, string, int, string, string, string"
+COREF = [(0, 0, 0, 0, 1, "He", 0, "nsubj", "he", "abandon"), (0, 0, 1, 7, 8, "who", 0, "nsubj", "who", "see"), (1, 1, 0, 4, 5, "him", 0, "dobj", "him", "see"), (1, 1, 1, 6, 7, "his", 1, "poss", "his", "dog")]
+COREF_NAMES, COREF_KINDS = "cluster_id, mention_id, start, end, text, sent_id, root_dep, root_lemma, head_lemma", "int, int, int, int, string, int, string, string, string"
 PATTERNS = [("man", "^he$|^him$"), ("doctor", "doctor")]
+CHUNKS_SQL, COREF_SQL = spread_sql("c", CHUNKS, CHUNK_NAMES, CHUNK_KINDS, **EVENTS), spread_sql("r", COREF, COREF_NAMES, COREF_KINDS, **EVENTS)
 
 
+def _chunks(spark, d):
+    return spread(spark, d, CHUNKS, CHUNK_NAMES, CHUNK_KINDS, **EVENTS).withColumnRenamed("event_id", "doc_id")
 
-def _rows(spark, rows, names, kinds):
-    return spark.createDataFrame(rows, ", ".join(f"{n.strip()} {k.strip()}" for n, k in zip(names.split(","), kinds.split(","), strict=True)))
 
+def _coref(spark, d):
+    return spread(spark, d, COREF, COREF_NAMES, COREF_KINDS, **EVENTS).withColumnRenamed("event_id", "doc_id")
 
-@query("jon11_pattern_events", f"""WITH {named(CHUNKS, "c", CHUNK_NAMES.replace("end", '"end"').replace("start", '"start"'))}, {named(PATTERNS, "p", "persona, pattern")} SELECT CAST(doc_id AS BIGINT) AS doc_id, persona, root_dep AS role, lower(head_lemma) AS verb, lower(text) AS surface FROM c, p WHERE root_dep IN ('nsubj', 'dobj') AND regexp_matches(lower(text), pattern)""")
+
+@query("jon11_pattern_events", f"""WITH {CHUNKS_SQL}, {named(PATTERNS, "p", "persona, pattern")} SELECT event_id AS doc_id, persona, root_dep AS role, lower(head_lemma) AS verb, lower(text) AS surface FROM c, p WHERE root_dep IN ('nsubj', 'dobj') AND regexp_matches(lower(text), pattern)""")
 def pattern_events(spark, d):
-    """DOM08, JON11, ARR05."""
-    return personas.pattern_events(_rows(spark, CHUNKS, CHUNK_NAMES, CHUNK_KINDS), constant(spark, PATTERNS, "persona, pattern"))
+    """DOM08, JON11, ARR05, over the chunks of all events."""
+    return personas.pattern_events(_chunks(spark, d), constant(spark, PATTERNS, "persona, pattern"))
+
+
+PEOPLE_WORDS = ["doctor", "who", "mothera"]
 
 
-@query("jon13_without_overlap", f"""WITH {named(CHUNKS, "c", CHUNK_NAMES.replace("end", '"end"').replace("start", '"start"'))}, {named(COREF, "r", COREF_NAMES.replace("end", '"end"').replace("start", '"start"'))} SELECT CAST(doc_id AS BIGINT) AS doc_id, text FROM c WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = c.doc_id AND greatest(c."start", r."start") <= least(c."end", r."end"))""")
+@query("dom08_people_words", f"""WITH {CHUNKS_SQL}, {named([(w,) for w in PEOPLE_WORDS], "w", "word")} SELECT event_id AS doc_id, word AS persona, root_dep AS role, lower(head_lemma) AS verb, lower(text) AS surface FROM c, w WHERE root_dep IN ('nsubj', 'dobj') AND list_contains(string_split(lower(text), ' '), word)""")
+def people_words(spark, d):
+    """DOM08 with a list of words for people, some of them set, some added."""
+    words = personas.PeopleWords().set(PEOPLE_WORDS[:2]).add(PEOPLE_WORDS[2:])
+    return personas.people_word_events(_chunks(spark, d), words.relation(spark))
+
+
+@query("jon13_without_overlap", f"""WITH {CHUNKS_SQL}, {COREF_SQL} SELECT event_id AS doc_id, text FROM c WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.event_id = c.event_id AND greatest(c."start", r."start") <= least(c."end", r."end"))""")
 def without_overlap(spark, d):
-    return J.without_overlap(_rows(spark, CHUNKS, CHUNK_NAMES, CHUNK_KINDS), _rows(spark, COREF, COREF_NAMES, COREF_KINDS)).select("doc_id", "text")
+    return J.without_overlap(_chunks(spark, d), _coref(spark, d)).select("doc_id", "text")
+
 
+DISCOVERED = [(0, "he", "nsubj", "abandon", "he"), (0, "he", "nsubj", "see", "who"), (0, "doctor{s}", "dobj", "abandon", "the doctor{s}"), (1, "he", "dobj", "see", "him"), (1, "he", None, None, "his"), (1, "mother{s}", "nsubj", "see{s}", "my mother{s}"), (1, "it", None, None, "it")]
 
-@query("dom09_discovered_events", "SELECT * FROM (VALUES (1::BIGINT, 'he', 'nsubj', 'abandon', 'he'), (1::BIGINT, 'he', 'nsubj', 'see', 'who'), (1::BIGINT, 'doctor', 'dobj', 'abandon', 'the doctor'), (2::BIGINT, 'he', 'dobj', 'see', 'him'), (2::BIGINT, 'he', NULL, NULL, 'his'), (2::BIGINT, 'mother', 'nsubj', 'see', 'my mother'), (2::BIGINT, 'it', NULL, NULL, 'it')) AS t(doc_id, persona, role, verb, surface)")
+
+@query("dom09_discovered_events", f"""WITH {spread_sql("x", DISCOVERED, "persona, role, verb, surface", "string, string, string, string", **EVENTS)} SELECT event_id AS doc_id, persona, role, verb, surface FROM x""")
 def discovered_events(spark, d):
     """DOM09, TXT16, TXT17, FLT16."""
-    return personas.discovered_events(_rows(spark, COREF, COREF_NAMES, COREF_KINDS), _rows(spark, CHUNKS, CHUNK_NAMES, CHUNK_KINDS))
+    return personas.discovered_events(_coref(spark, d), _chunks(spark, d))
 
 
-SENTS = [(1, i, f"S{i}.", 10 * i, 10 * i + 9) for i in range(4)] + [(2, i, f"T{i}.", 10 * i, 10 * i + 9) for i in range(3)]
+SENTS = [(0, i, "S{s}%d." % i, 10 * i, 10 * i + 9) for i in range(4)] + [(1, i, "T{s}%d." % i, 10 * i, 10 * i + 9) for i in range(3)]
+SNIPPETS = [(0, 1, "S{s}0. S{s}1."), (1, 1, "T{s}0. T{s}1."), (1, 2, "T{s}0. T{s}1. T{s}2.")]
 
 
-@query("dom11_coref_snippets", "SELECT * FROM (VALUES ('Him', 1::BIGINT, 1, 'S0. S1.', 'M'), ('Him', 2::BIGINT, 1, 'T0. T1.', 'M'), ('Him', 2::BIGINT, 2, 'T0. T1. T2.', 'M')) AS t(person, article_index, snippet_index, snippet, gender)")
+@query("dom11_coref_snippets", f"""WITH {spread_sql("x", SNIPPETS, "snippet_index, snippet", "int, string", **EVENTS)} SELECT 'Him' AS person, event_id AS article_index, snippet_index, snippet, 'M' AS gender FROM x""")
 def coref_snippets(spark, d):
     """DOM11, JON10, WIN10, JON05."""
-    s = _rows(spark, SENTS, "doc_id, sent_id, text, char_start, char_end", "bigint, int, string, int, int")
+    s = spread(spark, d, SENTS, "sent_id, text, char_start, char_end", "int, string, int, int", **EVENTS).withColumnRenamed("event_id", "doc_id")
     targets = constant(spark, [("Him", "^him$|^he$")], "person, pattern")
-    return snippets.build(_rows(spark, COREF, COREF_NAMES, COREF_KINDS), s, targets, constant(spark, [("Him", "M")], "name, gender"))
+    return snippets.build(_coref(spark, d), s, targets, constant(spark, [("Him", "M")], "name, gender"))
 
 
-TOKEN_NAMES, TOKEN_KINDS = "doc_id, tok_i, sent_id, text, lower, lemma, pos, dep, head_i, char_start, char_end", "bigint, int, int, string, string, string, string, string, int, int, int"
+TOKEN_NAMES, TOKEN_KINDS = "tok_i, sent_id, text, lower, lemma, pos, dep, head_i, char_start, char_end", "int, int, string, string, string, string, string, int, int, int"
 
 
-def tokens_of(doc: int, words: list[tuple[str, str, str, str, int]]) -> list[tuple]:
+def tokens_of(case: int, words: list[tuple[str, str, str, str, int]]) -> list[tuple]:
     """(text, lemma, pos, dep, head) rows as ann_token."""
     out, at = [], 0
     for i, (text, lemma, pos, dep, head) in enumerate(words):
-        out.append((doc, i, 0, text, text.lower(), lemma, pos, dep, head, at, at + len(text)))
+        out.append((case, i, 0, text, text.lower(), lemma, pos, dep, head, at, at + len(text)))
         at += len(text) + 1
     return out
 
 
-#: Sentences that state a cause, one for each family and case.
+#: Sentences that state a cause, one for each family and case. In the last a word that holds to account is six steps below its verb.
 CAUSAL_TOKENS = (
-    tokens_of(1, [("Cuts", "cut", "NOUN", "nsubj", 1), ("triggered", "trigger", "VERB", "ROOT", 1), ("backlash", "backlash", "NOUN", "dobj", 1)])
-    + tokens_of(2, [("Cuts", "cut", "NOUN", "nsubj", 1), ("led", "lead", "VERB", "ROOT", 1), ("to", "to", "ADP", "prep", 1), ("crisis", "crisis", "NOUN", "pobj", 2)])
-    + tokens_of(3, [("Cuts", "cut", "NOUN", "nsubj", 1), ("led", "lead", "VERB", "ROOT", 1), ("with", "with", "ADP", "prep", 1), ("crisis", "crisis", "NOUN", "pobj", 2)])
-    + tokens_of(4, [("Defeat", "defeat", "NOUN", "nsubj:pass", 2), ("was", "be", "AUX", "auxpass", 2), ("caused", "cause", "VERB", "ROOT", 2), ("by", "by", "ADP", "prep", 2), ("division", "division", "NOUN", "pobj", 3)])
-    + tokens_of(5, [("They", "they", "PRON", "nsubj", 1), ("caused", "cause", "VERB", "ROOT", 1), ("crisis", "crisis", "NOUN", "dobj", 1)])
-    + tokens_of(6, [("Delay", "delay", "NOUN", "ROOT", 0), ("because", "because", "SCONJ", "prep", 0), ("of", "of", "ADP", "pcomp", 1), ("Smith", "smith", "PROPN", "pobj", 1)])
-    + tokens_of(7, [("He", "he", "PRON", "nsubj", 1), ("blamed", "blame", "VERB", "ROOT", 1), ("Smith", "smith", "PROPN", "dobj", 1), ("for", "for", "ADP", "prep", 1), ("collapse", "collapse", "NOUN", "pobj", 3)])
-    + tokens_of(8, [("He", "he", "PRON", "nsubj", 1), ("held", "hold", "VERB", "ROOT", 1), ("Smith", "smith", "PROPN", "dobj", 1), ("for", "for", "ADP", "prep", 1), ("collapse", "collapse", "NOUN", "pobj", 3)])
-    + tokens_of(9, [("He", "he", "PRON", "nsubj", 1), ("held", "hold", "VERB", "ROOT", 1), ("Smith", "smith", "PROPN", "dobj", 1), ("responsible", "responsible", "ADJ", "oprd", 1), ("for", "for", "ADP", "prep", 1), ("collapse", "collapse", "NOUN", "pobj", 4)])
-    + tokens_of(10, [("She", "she", "PRON", "nsubj", 1), ("caused", "cause", "VERB", "ROOT", 1), ("weather", "weather", "NOUN", "dobj", 1)])
+    tokens_of(0, [("Cuts{s}", "cut", "NOUN", "nsubj", 1), ("triggered", "trigger", "VERB", "ROOT", 1), ("backlash", "backlash", "NOUN", "dobj", 1)])
+    + tokens_of(1, [("Cuts", "cut", "NOUN", "nsubj", 1), ("led", "lead", "VERB", "ROOT", 1), ("to", "to", "ADP", "prep", 1), ("crisis{s}", "crisis", "NOUN", "pobj", 2)])
+    + tokens_of(2, [("Cuts", "cut", "NOUN", "nsubj", 1), ("led", "lead", "VERB", "ROOT", 1), ("with", "with", "ADP", "prep", 1), ("crisis", "crisis", "NOUN", "pobj", 2)])
+    + tokens_of(3, [("Defeat", "defeat", "NOUN", "nsubj:pass", 2), ("was", "be", "AUX", "auxpass", 2), ("caused", "cause", "VERB", "ROOT", 2), ("by", "by", "ADP", "prep", 2), ("division{s}", "division", "NOUN", "pobj", 3)])
+    + tokens_of(4, [("They", "they", "PRON", "nsubj", 1), ("caused", "cause", "VERB", "ROOT", 1), ("crisis", "crisis", "NOUN", "dobj", 1)])
+    + tokens_of(5, [("Delay", "delay", "NOUN", "ROOT", 0), ("because", "because", "SCONJ", "prep", 0), ("of", "of", "ADP", "pcomp", 1), ("Smith{s}", "smith", "PROPN", "pobj", 1)])
+    + tokens_of(6, [("He", "he", "PRON", "nsubj", 1), ("blamed", "blame", "VERB", "ROOT", 1), ("Smith{s}", "smith", "PROPN", "dobj", 1), ("for", "for", "ADP", "prep", 1), ("collapse", "collapse", "NOUN", "pobj", 3)])
+    + tokens_of(7, [("He", "he", "PRON", "nsubj", 1), ("held", "hold", "VERB", "ROOT", 1), ("Smith", "smith", "PROPN", "dobj", 1), ("for", "for", "ADP", "prep", 1), ("collapse", "collapse", "NOUN", "pobj", 3)])
+    + tokens_of(8, [("He", "he", "PRON", "nsubj", 1), ("held", "hold", "VERB", "ROOT", 1), ("Smith{s}", "smith", "PROPN", "dobj", 1), ("responsible", "responsible", "ADJ", "oprd", 1), ("for", "for", "ADP", "prep", 1), ("collapse", "collapse", "NOUN", "pobj", 4)])
+    + tokens_of(9, [("She", "she", "PRON", "nsubj", 1), ("caused", "cause", "VERB", "ROOT", 1), ("weather", "weather", "NOUN", "dobj", 1)])
+    + tokens_of(10, [("He", "he", "PRON", "nsubj", 1), ("held", "hold", "VERB", "ROOT", 1), ("Smith{s}", "smith", "PROPN", "dobj", 1), ("for", "for", "ADP", "prep", 1), ("collapse", "collapse", "NOUN", "pobj", 3), *[("so", "so", "ADV", "advmod", h) for h in (1, 5, 6, 7, 8)], ("accountable", "accountable", "ADJ", "acomp", 9)])
 )
-CAUSAL_CHUNKS = [(d, i, i + 1, t, i, dep, pos, "x") for d, i, _, t, _, _, pos, dep, *_ in CAUSAL_TOKENS if pos in ("NOUN", "PROPN", "PRON")]
+CAUSAL_CHUNKS = [(c, i, i + 1, t, i, dep, pos, "x") for c, i, _, t, _, _, pos, dep, *_ in CAUSAL_TOKENS if pos in ("NOUN", "PROPN", "PRON")]
 EDGES = [
-    (1, "CAUSED", "Cuts", "backlash", 0.75, "causative_verb:trigger"), (2, "CAUSED", "Cuts", "crisis", 0.65, "causative_verb:lead"), (4, "CAUSED", "division", "Defeat", 0.75, "passive_causative_verb:cause"), (4, "CAUSED", "Defeat", "division", 0.75, "causative_verb:cause"),
-    (6, "CAUSAL_PREP", "Smith", "Delay", 0.6, "marker:because_of"), (7, "RESPONSIBLE_FOR", "Smith", "collapse", 0.75, "attrib_verb:blame"), (9, "RESPONSIBLE_FOR", "Smith", "collapse", 0.75, "attrib_verb:hold"),
+    (0, "CAUSED", "Cuts{s}", "backlash", 0.75, "causative_verb:trigger"), (1, "CAUSED", "Cuts", "crisis{s}", 0.65, "causative_verb:lead"), (3, "CAUSED", "division{s}", "Defeat", 0.75, "passive_causative_verb:cause"), (3, "CAUSED", "Defeat", "division{s}", 0.75, "causative_verb:cause"),
+    (5, "CAUSAL_PREP", "Smith{s}", "Delay", 0.6, "marker:because_of"), (6, "RESPONSIBLE_FOR", "Smith{s}", "collapse", 0.75, "attrib_verb:blame"), (8, "RESPONSIBLE_FOR", "Smith{s}", "collapse", 0.75, "attrib_verb:hold"), (10, "RESPONSIBLE_FOR", "Smith{s}", "collapse", 0.75, "attrib_verb:hold"),
 ]
+EDGES_SQL = spread_sql("x", EDGES, "relation, cause, effect, confidence, evidence", "string, string, string, double, string", **EVENTS)
 
 
-def causal_edges_of(spark):
-    tokens = _rows(spark, CAUSAL_TOKENS, TOKEN_NAMES, TOKEN_KINDS)
+def causal_edges_of(spark, d):
+    tokens = spread(spark, d, CAUSAL_TOKENS, TOKEN_NAMES, TOKEN_KINDS, **EVENTS).withColumnRenamed("event_id", "doc_id")
+    chunks = spread(spark, d, CAUSAL_CHUNKS, CHUNK_NAMES, CHUNK_KINDS, **EVENTS).withColumnRenamed("event_id", "doc_id")
     none = spark.createDataFrame([], "doc_id bigint, start int, end int, text string, label string")
-    spans = causal.candidates(tokens, none, _rows(spark, CAUSAL_CHUNKS, CHUNK_NAMES, CHUNK_KINDS))
-    owners = tokens.select("doc_id").distinct().select("doc_id", F.lit("P").alias("person"), F.col("doc_id").cast("int").alias("article_index"), F.lit(1).alias("snippet_index"))
-    return causal.edges(tokens, spans, owners)
+    owners = table(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("person"), F.col("event_id").alias("article_index"), F.lit(1).alias("snippet_index"))
+    return causal.edges(tokens, causal.candidates(tokens, none, chunks), owners)
 
 
-@query("dom13_causal_edges", "SELECT CAST(article_index AS INTEGER) AS article_index, relation, cause, effect, CAST(confidence AS DOUBLE) AS confidence, evidence FROM (VALUES " + ", ".join(str(e) for e in EDGES) + ") AS t(article_index, relation, cause, effect, confidence, evidence)")
+@query("dom13_causal_edges", f"WITH {EDGES_SQL} SELECT event_id AS article_index, 'p' || user_id AS person, relation, cause, effect, confidence, evidence FROM x JOIN events USING (event_id)")
 def causal_edges(spark, d):
-    """DOM13 to DOM16, DOM13a, JON14, WIN13, TXT18."""
-    return causal_edges_of(spark).select("article_index", "relation", "cause", "effect", "confidence", "evidence")
+    """DOM13 to DOM16, DOM13a, JON14, WIN13, TXT18, over the tokens and chunks of all events."""
+    return causal_edges_of(spark, d).select("article_index", "person", "relation", "cause", "effect", "confidence", "evidence")
 
 
-@query("dom17_rescored_edges", "SELECT CAST(article_index AS INTEGER) AS article_index, evidence || '|clf' AS evidence, round(confidence * 0.9::DOUBLE, 6) AS confidence FROM (VALUES " + ", ".join(str(e) for e in EDGES) + ") AS t(article_index, relation, cause, effect, confidence, evidence) WHERE confidence * 0.9 >= 0.55")
+@query("dom17_rescored_edges", f"WITH {EDGES_SQL} SELECT event_id AS article_index, evidence || '|clf' AS evidence, confidence * (CASE WHEN length(effect) > 8 THEN 0.5 ELSE 0.9 END)::DOUBLE AS confidence FROM x WHERE confidence * (CASE WHEN length(effect) > 8 THEN 0.5 ELSE 0.9 END)::DOUBLE >= 0.3")
 def rescored_edges(spark, d):
-    return causal.rescore(causal_edges_of(spark), F.lit(0.9)).select("article_index", "evidence", F.round("confidence", 6).alias("confidence"))
+    """A classifier is called with batches of marked pairs of cause and effect; this one goes by the length of the effect."""
+    def classify(texts):
+        return [0.5 if len(t.split("[EFFECT] ")[1].split(" [/EFFECT]")[0]) > 8 else 0.9 for t in texts]
+
+    found = causal_edges_of(spark, d).withColumn("text", F.concat_ws(" ", "cause", "effect"))
+    return causal.rescore(found, causal.classified(classify, F.col("text"), F.col("cause"), F.col("effect")), 0.3).select("article_index", "evidence", "confidence")
 
 
-@query("annotated_corpus_edges")
-def annotated_corpus_edges(spark, d):
-    """The rule-based annotator and the causal families over all conversations."""
-    docs = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
-    a = annotate.annotate(docs)
-    spans = causal.candidates(a["ann_token"], a["ann_entity"], a["ann_chunk"])
-    owners = docs.select("doc_id", F.lit("all").alias("person"), F.col("doc_id").alias("article_index"), F.lit(1).alias("snippet_index"))
-    return causal.edges(a["ann_token"], spans, owners)
+@query("agg26_topic_info", "SELECT source AS topic_id, count(*) AS n FROM documents GROUP BY source")
+def topic_info(spark, d):
+    return table(spark, d, "documents").groupBy(F.col("source").alias("topic_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
-NAME_CASES = [("Rt Hon Sir Keir Starmer KC MP",), ("Dr. Jane van Roe, OBE",), ("Baroness May of Maidenhead",), ("Lord Mandelson",), ("Aberdare",), ("Diane Abbott",)]
+NAME_CASES = [(0, "Rt Hon Sir Keir Starmer{s} KC MP"), (1, "Dr. Jane van Roe{s}, OBE"), (2, "Baroness May{s} of Maidenhead"), (3, "Lord Mandelson{s}"), (4, "Aberdare{s}"), (5, "Diane Abbott{s}")]
+NAMES_TOLD = [(0, "Keir Starmer{s}", False, "Keir Starmer{s}"), (1, "Jane van Roe{s}", False, "Jane Roe{s}"), (2, "May{s} of Maidenhead", True, "May{s} Maidenhead"), (3, "Mandelson{s}", True, "Mandelson{s}"), (4, "Aberdare{s}", True, "Aberdare{s}"), (5, "Diane Abbott{s}", False, "Diane Abbott{s}")]
 
 
-@query("txt12_normal_names", "SELECT * FROM (VALUES ('Rt Hon Sir Keir Starmer KC MP', 'Keir Starmer', false, 'Keir Starmer'), ('Dr. Jane van Roe, OBE', 'Jane van Roe', false, 'Jane Roe'), ('Baroness May of Maidenhead', 'May of Maidenhead', true, 'May Maidenhead'), ('Lord Mandelson', 'Mandelson', true, 'Mandelson'), ('Aberdare', 'Aberdare', true, 'Aberdare'), ('Diane Abbott', 'Diane Abbott', false, 'Diane Abbott')) AS t(name, normal, titled, short)")
+@query("txt12_normal_names", f"WITH {spread_sql('x', NAMES_TOLD, 'normal, titled, short', 'string, boolean, string')} SELECT * FROM x")
 def normal_names(spark, d):
-    """TXT12, TXT14, FLT17."""
+    """TXT12, TXT14, FLT17, over a name for each customer."""
     n = T.normal_name(F.col("name"))
-    return constant(spark, NAME_CASES, "name").select("name", n.alias("normal"), T.peerage(F.col("name"), F.lit("")).alias("titled"), T.first_last(n).alias("short"))
+    return spread(spark, d, NAME_CASES, "name", "string").select("c_custkey", n.alias("normal"), T.peerage(F.col("name"), F.lit("")).alias("titled"), T.first_last(n).alias("short"))
+
 
+BIOS = [(0, "Her name is Theresa Mary May{s}."), (1, "She was MP for Maidenhead{s} (1997-2024)."), (2, "elected as MP for X in 2001, born Of The Sea{s}"), (3, None), (4, "His name is Sean&#32;Doe{s} &amp; so on."), (5, "Her name is Zoe&nbsp;M&#x69;ller{s}.")]
+BIOS_TOLD = [(0, "Theresa Mary May{s}", None, None), (1, None, "1997-01-01", "2024-12-31"), (2, None, "2001-01-01", ""), (3, None, None, None), (4, "Sean Doe{s}", None, None), (5, "Zoe Miller{s}", None, None)]
 
-@query("txt10_bio_names", "SELECT * FROM (VALUES (1, 'Theresa Mary May', NULL, NULL), (2, NULL, '1997-01-01', '2024-12-31'), (3, NULL, '2001-01-01', ''), (4, NULL, NULL, NULL)) AS t(id, name, start, stop)")
+
+@query("txt10_bio_names", f"WITH {spread_sql('x', BIOS_TOLD, 'name, start, stop', 'string, string, string')} SELECT * FROM x")
 def bio_names(spark, d):
-    """TXT10, TXT11."""
-    rows = [(1, "Her name is Theresa Mary May."), (2, "She was MP for Maidenhead (1997-2024)."), (3, "elected as MP for X in 2001, born Of The Sea"), (4, None)]
+    """TXT10, TXT11; entities are unescaped first."""
     y = T.served_years(F.col("s"))
-    return constant(spark, rows, "id, s", "int, string").select("id", T.name_from_bio(F.col("s")).alias("name"), y["start"].alias("start"), y["end"].alias("stop"))
+    return spread(spark, d, BIOS, "s", "string").select("c_custkey", T.name_from_bio(F.col("s")).alias("name"), y["start"].alias("start"), y["end"].alias("stop"))
 
 
-@query("txt13_simple_names", "SELECT * FROM (VALUES ('Mr rees-mogg o''neil', 'Rees-Mogg O''Neil'), ('Lord Cameron of Lapworth', 'Cameron')) AS t(name, simple)")
+@query("txt13_simple_names", f"""WITH {spread_sql('x', [(0, "Rees-Mogg{s} O'Neil"), (1, "Cameron{s}")], 'simple', 'string')} SELECT * FROM x""")
 def simple_names(spark, d):
-    return constant(spark, [("Mr rees-mogg o'neil",), ("Lord Cameron of Lapworth",)], "name").select("name", T.simple_name(F.col("name")).alias("simple"))
+    return spread(spark, d, [(0, "Mr rees-mogg{s} o'neil"), (1, "Lord Cameron{s} of Lapworth")], "name", "string").select("c_custkey", T.simple_name(F.col("name")).alias("simple"))
+
 
+@query("txt19_flexible_pattern", r"SELECT p_partkey, regexp_matches(p_name || '  x', '(?i)(small\s+ring|small\s+nut|small)\b') AS hit FROM part")
+def flexible(spark, d):
+    """TXT19, SRT04: any of the names, the longest first."""
+    return table(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit("  x")).rlike("(?i)(" + T.flexible_pattern(["small", "small nut", "small ring"]) + r")\b").alias("hit"))
 
-@query("arr03_aliases", "SELECT * FROM (VALUES ('boris johnson', '<boris_johnson>'), ('johnson', '<boris_johnson>'), ('bojo', '<boris_johnson>'), ('theresa mary may', '<theresa_mary_may>'), ('theresa may', '<theresa_mary_may>')) AS t(alias, tag)")
+
+ALIASES = [(0, "boris johnson{s}", "<boris_johnson{s}>"), (0, "johnson{s}", "<boris_johnson{s}>"), (0, "bojo", "<boris_johnson{s}>"), (1, "theresa mary may{s}", "<theresa_mary_may{s}>"), (1, "theresa may{s}", "<theresa_mary_may{s}>"), (1, "may{s}", "<theresa_mary_may{s}>")]
+
+
+@query("arr03_aliases", f"""WITH {spread_sql('x', ALIASES, 'alias, tag', 'string, string')}, one AS (SELECT DISTINCT alias, tag FROM x) SELECT alias, min(tag) AS tag FROM one GROUP BY alias""")
 def alias_rows(spark, d):
-    """ARR03, FLT15, SRT04, Q9's precedence."""
-    g = constant(spark, [("Boris Johnson", "BoJo; "), ("Theresa Mary May", None)], "name_final, aliases")
+    """ARR03, FLT15, Q9's precedence: of people with one alias the first by name has it."""
+    g = spread(spark, d, [(0, "Boris Johnson{s}", "BoJo; "), (1, "Theresa Mary May{s}", None)], "name_final, aliases", "string, string").drop("c_custkey").distinct()
     return gazetteer.name_table(gazetteer.aliases(g, extra="aliases"))
 
 
-MEMBER_NAMES, MEMBER_KINDS = "id, display, full_title, gender, party, house, constituency, start, end", "bigint, string, string, string, string, int, string, string, string"
-COMMONS = [(1, "Ms Ann Mary Roe", "Ann Roe MP", "F", "A", 1, "X", "2001-05-01", None), (1, "Ms Ann Mary Roe", "Ann Roe MP", "F", "A", 1, "Y", "2010-05-01", None), (2, "Mr Old", "Mr Old", "M", "B", 1, "Z", "1950-01-01", "1960-01-01")]
-LORDS = [(3, "Lord Fox", "The Lord Fox", "M", "C", 2, "Life", None, None), (4, "Lord Gone", "", "M", "C", 2, "Life", None, None), (5, "Lord Prose", "", "M", "C", 2, "Life", None, None)]
+MEMBER_NAMES, MEMBER_KINDS = "n, display, full_title, gender, party, house, constituency, start, end", "int, string, string, string, string, int, string, string, string"
+COMMONS = [(0, 1, "Ms Ann Mary Roe{s}", "Ann Roe MP", "F", "A", 1, "X", "2001-05-01", None), (0, 1, "Ms Ann Mary Roe{s}", "Ann Roe MP", "F", "A", 1, "Y", "2010-05-01", None), (0, 2, "Mr Old", "Mr Old", "M", "B", 1, "Z", "1950-01-01", "1960-01-01")]
+LORDS = [(0, 3, "Lord Fox{s}", "The Lord Fox", "M", "C", 2, "Life", None, None), (0, 4, "Lord Gone", "", "M", "C", 2, "Life", None, None), (0, 5, "Lord Prose{s}", "", "M", "C", 2, "Life", None, None)]
+FOUND = [(0, 1, "Ann Roe{s}", "normalized", "Y", "2010-05-01"), (0, 3, "Robin Fox{s}", "synopsis", "Life", "1992-01-01"), (0, 5, "Prose{s}", "unresolved", "Life", "1997-01-01")]
 
 
-@query("dom18_gazetteer", """SELECT CAST(id AS BIGINT) AS id, name_final, resolution_method, constituency, CAST(s AS DATE) AS membership_start FROM (VALUES (1, 'Ann Roe', 'normalized', 'Y', '2010-05-01'), (3, 'Robin Fox', 'synopsis', 'Life', '1992-01-01'), (5, 'Prose', 'unresolved', 'Life', '1997-01-01')) AS t(id, name_final, resolution_method, constituency, s)""")
+def _member(df):
+    return df.withColumn("id", F.col("c_custkey") * 10 + F.col("n")).drop("c_custkey", "n")
+
+
+@query("dom18_gazetteer", f"""WITH {spread_sql('x', FOUND, 'n, name_final, resolution_method, constituency, s', 'int, string, string, string, string')} SELECT c_custkey * 10 + n AS id, name_final, resolution_method, constituency, CAST(s AS DATE) AS membership_start, CAST(row_number() OVER (ORDER BY name_final, c_custkey * 10 + n) AS INTEGER) AS place FROM x""")
 def gazetteer_rows(spark, d):
-    """DOM18, DOM18b, JON09, FLT10, FLT11."""
-    commons, lords = (_rows(spark, r, MEMBER_NAMES, MEMBER_KINDS) for r in (COMMONS, LORDS))
-    history = _rows(spark, [(3, "1992-01-01", "1997-01-01"), (4, None, None)], "id, start, end", "bigint, string, string")
-    prose = _rows(spark, [(5, "was MP for Q from 1997 to 2001")], "id, text", "bigint, string")
-    texts = {"synopsis": _rows(spark, [(3, "born Robin James Fox")], "id, text", "bigint, string"), "career": _rows(spark, [(3, "His name is Other Name")], "id, text", "bigint, string")}
-    return gazetteer.build(commons, lords, history, texts, prose).select("id", "name_final", "resolution_method", "constituency", "membership_start")
+    """DOM18, DOM18b, JON09, FLT10, FLT11, SRT03: six members for each customer, two of them never within reach; sorted by name."""
+    commons, lords = (_member(spread(spark, d, r, MEMBER_NAMES, MEMBER_KINDS)) for r in (COMMONS, LORDS))
+    history = _member(spread(spark, d, [(0, 3, "1992-01-01", "1997-01-01"), (0, 4, None, None)], "n, start, end", "int, string, string"))
+    prose = _member(spread(spark, d, [(0, 5, "was MP for Q from 1997 to 2001")], "n, text", "int, string"))
+    texts = {"synopsis": _member(spread(spark, d, [(0, 3, "born Robin James Fox{s}")], "n, text", "int, string")), "career": _member(spread(spark, d, [(0, 3, "His name is Other Name")], "n, text", "int, string"))}
+    return gazetteer.placed(gazetteer.build(commons, lords, history, texts, prose)).select("id", "name_final", "resolution_method", "constituency", "membership_start", "place")
 
 
-@query("src12_sitemap", "SELECT * FROM (VALUES (0, 'https://a/1'), (1, 'https://a/2')) AS t(position, location)")
+@query("src12_sitemap", "SELECT page_id, k AS position, url || '/' || k AS location FROM pages, (VALUES (0), (1), (2)) AS t(k) WHERE url IS NOT NULL AND NOT contains(url, '&') AND NOT contains(url, '<')")
 def sitemap(spark, d):
+    """A sitemap of three addresses for each page."""
     from presslens.sources.web import sitemap_locations
 
-    xml = '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>https://a/1</loc></url><url><loc>https://a/2</loc></url></urlset>'
-    return sitemap_locations(constant(spark, [(xml,)], "xml")).select("position", "location")
+    p = table(spark, d, "pages").where("url IS NOT NULL AND NOT contains(url, '&') AND NOT contains(url, '<')")
+    locations = F.array_join(F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda k: F.concat(F.lit("<url><loc>"), F.col("url"), F.lit("/"), k.cast("string"), F.lit("</loc></url>"))), "")
+    xml = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), locations, F.lit("</urlset>"))
+    return sitemap_locations(p.select("page_id", xml.alias("xml"))).select("page_id", "position", "location")
 
 
-@query("src13_captures", "SELECT * FROM (VALUES ('2001', 'u', 'd1'), ('2003', 'u', 'd2')) AS t(timestamp, original, digest)")
+@query("src13_captures", "SELECT t.timestamp, CAST(user_id AS VARCHAR) AS original, t.digest FROM (SELECT DISTINCT user_id FROM events) u, (VALUES ('2001', 'd1'), ('2003', 'd2'), ('2006', 'd1')) AS t(timestamp, digest)")
 def captures(spark, d):
-    """SRC13, MAP02."""
+    """SRC13, MAP02: a listing for each user, with a repeat of a digest, one that comes back, and a failed capture."""
     from presslens.sources.web import captures as run
 
-    body = '[["timestamp","original","statuscode","mimetype","digest","length"],["2001","u","200","t","d1","1"],["2002","u","200","t","d1","1"],["2003","u","200","t","d2","1"],["2004","u","404","t","d3","1"]]'
-    return run(constant(spark, [(body,)], "body")).select("timestamp", "original", "digest")
+    u = F.col("user_id").cast("string")
+    rows = [("2001", "200", "d1"), ("2002", "200", "d1"), ("2003", "200", "d2"), ("2004", "404", "d3"), ("2006", "200", "d1")]
+    text = lambda *xs: F.array(*[x if not isinstance(x, str) else F.lit(x) for x in xs])
+    body = F.to_json(F.array(text("timestamp", "original", "statuscode", "mimetype", "digest", "length"), *[text(t, u, code, "t", digest, "1") for t, code, digest in rows]))
+    return run(table(spark, d, "events").select("user_id").distinct().select(body.alias("body"))).select("timestamp", "original", "digest")
 
 
-@query("src10_api_members", "SELECT CAST(id AS BIGINT) AS id, display, party, start FROM (VALUES (7, 'A B', 'P', '2001-02-03')) AS t(id, display, party, start)")
+@query("src10_api_members", "SELECT CAST(c_custkey AS BIGINT) AS id, c_name AS display, c_mktsegment AS party, '2001-02-03' AS start FROM customer")
 def api_members(spark, d):
-    from presslens.sources.web import api_members as run
+    """Pages of members, one for each nation, by landed responses that name the total; all pages together have it."""
+    from presslens.sources.web import api_members as run, complete_pages
+
+    value = F.struct(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("nameDisplayAs"), F.struct(F.col("c_mktsegment").alias("name")).alias("latestParty"), F.struct(F.lit(1).alias("house"), F.lit("2001-02-03T00:00:00").alias("membershipStartDate")).alias("latestHouseMembership")).alias("value"))
+    c = table(spark, d, "customer")
+    pages = c.groupBy("c_nationkey").agg(F.collect_list(value).alias("items")).select(F.to_json(F.struct("items", F.lit(c.count()).alias("totalResults"))).alias("body"))
+    return run(complete_pages(pages)).select("id", "display", "party", "start")
+
+
+BULK = [
+    (0, '{"Members": {"Member": [{"@Member_Id": "%", "StartDate": "2001-01-02T00:00:00", "EndDate": {"@xsi:nil": "true"}}]}}', "2001-01-02", None),
+    (1, '{"Members": {"Member": {"@Member_Id": "%", "StartDate": "1999-05-06", "EndDate": {"#text": "2003-04-05T00:00:00"}}}}', "1999-05-06", "2003-04-05"),
+    (2, '<?xml version="1.0"?><Members xmlns="http://a/b"><Member Member_Id="%"><HouseMemberships><HouseMembership><House>Commons</House><StartDate>1997-01-01T00:00:00</StartDate><EndDate></EndDate></HouseMembership><HouseMembership><House>Lords</House><StartDate>2010-01-01T00:00:00</StartDate></HouseMembership></HouseMemberships></Member></Members>', "1997-01-01", None),
+    (3, '{"Members": {"Member": {"@Member_Id": "%", "HouseMemberships": {"HouseMembership": [{"House": {"#text": "Commons"}, "StartDate": "1990-01-01", "EndDate": "1995-01-01"}, {"House": "House of Commons", "StartDate": "1996-01-01", "EndDate": "1999-01-01"}, {"House": "Lords", "StartDate": "2005-01-01"}]}}}}', "1996-01-01", "1999-01-01"),
+]
+
+
+@query("src11_bulk_memberships", f"WITH {spread_sql('x', [(c, a, b) for c, _, a, b in BULK], 'start, end', 'string, string')} SELECT * FROM x".replace("SELECT * FROM x", "SELECT c_custkey AS id, \"start\", \"end\" FROM x"))
+def bulk(spark, d):
+    """Lists, single members, and XML where the service gave that; a byte order mark before some."""
+    from presslens.sources.web import bulk_memberships
 
-    body = '{"items": [{"value": {"id": 7, "nameDisplayAs": "A B", "latestParty": {"name": "P"}, "latestHouseMembership": {"house": 1, "membershipStartDate": "2001-02-03T00:00:00"}}}], "totalResults": 1}'
-    return run(constant(spark, [(body,)], "body")).select("id", "display", "party", "start")
+    x = spread(spark, d, [(c, text) for c, text, _, _ in BULK], "body", "string")
+    body = F.replace("body", F.lit("%"), F.col("c_custkey").cast("string"))
+    return bulk_memberships(x.select(F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("﻿"), body)).otherwise(body).alias("body")))
 
 
 @query("src14_listed_urls", "SELECT url, min(ts) AS ts FROM (SELECT regexp_replace(url, '#.*$', '') AS url, CAST(2000 + page_id % 30 AS VARCHAR) AS ts FROM pages) WHERE starts_with(url, 'https') AND CAST(ts AS INTEGER) BETWEEN 2005 AND 2020 GROUP BY url ORDER BY url LIMIT 40")
@@ -283,14 +353,14 @@ def _stream(spark, d):
 def stream_counts(spark, d):
     from presslens.streaming import streams
 
-    return streams.drain(streams.running_counts(_stream(spark, d), "event_type"), "presslens_counts", "complete")
+    return streams.drain(streams.running_counts(_stream(spark, d), "event_type"), "complete")
 
 
 @query("str05_windowed_counts", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_windows(spark, d):
     from presslens.streaming import streams
 
-    x = streams.drain(streams.windowed_counts(_stream(spark, d), "ts", "1 day", "40 days", "event_type"), "presslens_windows", "complete")
+    x = streams.drain(streams.windowed_counts(_stream(spark, d), "ts", "1 day", "40 days", "event_type"), "complete")
     return x.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
@@ -298,11 +368,11 @@ def stream_windows(spark, d):
 def stream_scoring(spark, d):
     from presslens.streaming import streams
 
-    return streams.drain(streams.score_stream(_stream(spark, d), lambda df: df.where("value > 20").select("event_id")), "presslens_scored")
+    return streams.drain(streams.score_stream(_stream(spark, d), lambda df: df.where("value > 20").select("event_id")))
 
 
 @query("str02_first_seen", "SELECT count(DISTINCT user_id) AS users FROM events")
 def stream_first_seen(spark, d):
     from presslens.streaming import streams
 
-    return streams.drain(streams.first_seen(_stream(spark, d), "user_id", "ts", "60 days").select("user_id"), "presslens_seen").agg(F.count(F.lit(1)).alias("users"))
+    return streams.drain(streams.first_seen(_stream(spark, d), "user_id", "ts", "60 days").select("user_id")).agg(F.count(F.lit(1)).alias("users"))

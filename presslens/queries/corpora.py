@@ -11,7 +11,8 @@ from presslens.operators import filters as L
 from presslens.operators import joins as J
 from presslens.operators import sampling as S
 from presslens.plans import corpus, corpus_views
-from presslens.queries import constant, named, query, table
+from presslens.queries import constant, named, query, spread, spread_sql, table
+from presslens.queries.texts import sentences_sql
 
 SECTIONS = ["SRC1", " src2 ", "src3", "src4", "src5", "src6", "fr", "en", "de"]
 
@@ -132,16 +133,19 @@ def contained(spark, d):
     return D.drop_contained(both, "p_brand", "p_name", "own").where("own = 1").select("p_brand", "p_name").distinct()
 
 
-@query("agg28_dedupe_counts", r"""
-    WITH s AS (SELECT lang AS topic, source AS person, trim(regexp_replace(title, '\s+', ' ', 'g')) AS snippet, seq FROM (SELECT lang, source, regexp_extract(text, '^[^.]*\.', 0) AS title, doc_id AS seq FROM documents)),
+@query("agg28_dedupe_counts", f"""
+    WITH {sentences_sql()}, s AS (SELECT lang AS topic, source AS person, trim(regexp_replace(sentence, '\\s+', ' ', 'g')) AS snippet, doc_id * 100000 + sent_id AS seq FROM sentences),
     e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY person, snippet ORDER BY seq) AS r FROM s) WHERE r = 1),
-    c AS (SELECT * FROM e a WHERE NOT EXISTS (SELECT 1 FROM e b WHERE a.person = b.person AND length(b.snippet) > length(a.snippet) AND length(a.snippet) > 0 AND contains(lower(b.snippet), lower(a.snippet))))
+    u AS (SELECT DISTINCT person, lower(snippet) AS t FROM e WHERE person IS NOT NULL),
+    g AS (SELECT DISTINCT a.person, a.t FROM u a JOIN u b ON a.person = b.person AND length(b.t) > length(a.t) AND contains(b.t, a.t)),
+    c AS (SELECT e.topic FROM e LEFT JOIN g ON g.person = e.person AND g.t = lower(e.snippet) WHERE e.person IS NOT NULL AND g.t IS NULL)
     SELECT topic, count(*) AS before, coalesce((SELECT count(*) FROM e WHERE e.topic = s.topic), 0) AS exact, coalesce((SELECT count(*) FROM c WHERE c.topic = s.topic), 0) AS contained FROM s GROUP BY topic""")
 def dedupe_counts(spark, d):
+    """AGG28, DOM12, over all sentences of all texts."""
     from presslens.plans.snippets import dedupe_counts as run
 
-    x = table(spark, d, "documents").select(F.col("lang").alias("topic"), F.col("source").alias("person"), F.regexp_extract("text", r"^[^.]*\.", 0).alias("snippet"), F.col("doc_id").alias("seq"))
-    return run(x, "topic")
+    x = table(spark, d, "documents").select(F.col("lang").alias("topic"), F.col("source").alias("person"), "doc_id", F.posexplode(T.sentences(F.col("text"))).alias("i", "snippet"))
+    return run(x.withColumn("seq", F.col("doc_id") * 100_000 + F.col("i")), "topic")
 
 
 @query("win06_latest_per_member", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders) WHERE r = 1")
@@ -303,9 +307,12 @@ def map_default(spark, d):
     return schema.map_values(table(spark, d, "embeddings"), "label", constant(spark, TOPICS, "k, v", "int, string"), "k", "v", "topic_name", "Outlier").select("vec_id", "topic_name")
 
 
-@query("txt21_label_words", f"WITH {named(TOPICS, 'm', 'label, name')} SELECT label, replace(substr(name, strpos(name, '_') + 1), '_', ', ') AS words FROM m")
+LABELS = [(0, "0_alpha{s}_beta"), (1, "1_gamma{s}"), (2, "2_delta_eps_zeta{s}"), (3, "none{s}"), (4, None)]
+
+
+@query("txt21_label_words", f"WITH {spread_sql('m', LABELS, 'name', 'string')} SELECT c_custkey, replace(substr(name, strpos(name, '_') + 1), '_', ', ') AS words FROM m")
 def label_words(spark, d):
-    return constant(spark, TOPICS, "label, name", "int, string").select("label", T.label_words(F.col("name")).alias("words"))
+    return spread(spark, d, LABELS, "name", "string").select("c_custkey", T.label_words(F.col("name")).alias("words"))
 
 
 @query("prj12_file_safe", r"SELECT DISTINCT p_type, replace(trim(regexp_replace(p_name || '/' || p_type || ':é', '[^\p{L}\p{N} _-]', '_', 'g')), ' ', '_') AS safe FROM part")
@@ -373,9 +380,13 @@ def annotator_zip(spark, d):
 
 
 @query("jon12_fuzzy_match", """
-    WITH k AS (SELECT unnest(['widget red', 'small rings', 'bolt blue', 'ring']) AS known), p AS (SELECT DISTINCT p_name FROM part),
+    WITH RECURSIVE k AS (SELECT unnest(['widget red', 'small rings', 'bolt blue', 'ring']) AS known), p AS (SELECT DISTINCT p_name FROM part),
     x AS (SELECT p_name, known, array_to_string(list_sort(string_split(lower(trim(p_name)), ' ')), ' ') AS a, array_to_string(list_sort(string_split(lower(trim(known)), ' ')), ' ') AS b FROM p, k),
-    s AS (SELECT p_name, known, (1.0::DOUBLE - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b))) * 100 AS score FROM x)
+    -- a row of the table of longest common subsequences for each character of a; of a row the values only rise, so a running maximum fills it
+    l AS (SELECT p_name, known, a, b, 0 AS i, list_transform(range(length(b) + 1), lambda j: 0::BIGINT) AS r FROM x
+          UNION ALL
+          SELECT p_name, known, a, b, i + 1, list_transform(range(length(b) + 1), lambda j: list_max(list_transform(range(j + 1), lambda q: CASE WHEN q > 0 AND substr(a, i + 1, 1) = substr(b, q, 1) THEN r[q] + 1 ELSE r[q + 1] END))) FROM l WHERE i < length(a)),
+    s AS (SELECT p_name, known, 200.0::DOUBLE * r[length(b) + 1] / (length(a) + length(b)) AS score FROM l WHERE i = length(a))
     SELECT p_name, known AS match, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY score DESC, known) AS r FROM s WHERE score >= 85) WHERE r = 1""")
 def fuzzy_match(spark, d):
     """JON12, TXT24."""
@@ -490,13 +501,13 @@ def safe_ratio(spark, d):
     return table(spark, d, "labels").select("doc_id", F.round(V.ratio(F.col("quality"), F.col("toxic")), 3).alias("r"))
 
 
-DATES = [(1, "2020-01-02T03:04:05Z"), (2, "2020-01-02"), (3, "02-01-2020"), (4, "31/12/1999"), (5, "1999/12/31"), (6, "junk"), (7, None)]
-
-
-@query("dat02_any_date", f"WITH {named(DATES, 'x', 'id, s')} SELECT CAST(id AS INTEGER) AS id, CAST(coalesce(CAST(try_cast(replace(replace(s, 'T', ' '), 'Z', '') AS TIMESTAMP) AS DATE), CAST(try_strptime(s, '%d-%m-%Y') AS DATE), CAST(try_strptime(s, '%d/%m/%Y') AS DATE), CAST(try_strptime(s, '%Y/%m/%d') AS DATE)) AS VARCHAR) AS day FROM x")
+@query("dat02_any_date", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 < 5 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders")
 def any_date(spark, d):
-    """DAT01, DAT02."""
-    return constant(spark, DATES, "id, s", "int, string").select("id", F.to_date(V.any_timestamp(F.col("s"))).cast("string").alias("day"))
+    """DAT01, DAT02: every order's date in one of five forms, junk or null, and back."""
+    day = lambda f: F.date_format("o_orderdate", f)
+    forms = [F.concat(day("yyyy-MM-dd"), F.lit("T03:04:05Z")), day("yyyy-MM-dd"), day("dd-MM-yyyy"), day("dd/MM/yyyy"), day("yyyy/MM/dd"), F.lit("junk"), F.lit(None).cast("string")]
+    s = F.get(F.array(*forms), (F.col("o_orderkey") % 7).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", F.to_date(V.any_timestamp(s)).cast("string").alias("day"))
 
 
 @query("dat03_archive_stamp", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, CAST(year(ts) AS BIGINT) AS year, strftime(ts, '%Y-%m-%d') AS day FROM events")

@@ -6,7 +6,7 @@ from presslens.functions import html as H
 from presslens.functions import text as T
 from presslens.operators import joins as J
 from presslens.plans import corpus_views, frames, mentions
-from presslens.queries import constant, named, query, table
+from presslens.queries import constant, literal, named, query, spread, spread_sql, table
 
 #: People whose names occur in the texts, with a gender.
 PEOPLE = [("Apache License", "M"), ("General Public", "F"), ("Orre Orre", None), ("The The", "F")]
@@ -87,24 +87,47 @@ def tagger(spark, d):
     return out.select("doc_id", F.md5(F.col("tagged_text").cast("binary")).alias("digest"))
 
 
-@query("dom02_tag_coref")
-def tag_coref(spark, d):
-    """DOM02 with gated single words; JON18, FLT15, ARR03."""
+#: Texts with clusters of character spans, and what the tagger makes of them with coreference and with near names. {s} is one character, so that spans stay.
+TO_TAG = [
+    (0, "Boris Johnson{s} spoke. He left. Then Johnson{s} went.", "[[[0,14],[22,24]]]", "<boris_johnson{s}> spoke. <boris_johnson{s}> left. Then <boris_johnson{s}> went.", "<boris_johnson{s}> spoke. He left. Then <boris_johnson{s}> went."),
+    (1, "Somebody spoke. He left.", "[[[0,8],[16,18]]]", "Somebody spoke. Somebody left.", "Somebody spoke. He left."),
+    (2, None, None, "", ""),
+    (3, "Then a Johnson{s} spoke.", "[]", "Then a Johnson{s} spoke.", "Then a Johnson{s} spoke."),
+    (4, "We saw Boriss Johnson{s}. She was Theresa Mary May{s}.", "[[[24,27],[32,49]]]", "We saw Boriss Johnson{s}. <theresa_mary_may{s}> was <theresa_mary_may{s}>.", "We saw <boris_johnson{s}>. She was <theresa_mary_may{s}>."),
+    (5, "theresa may{s} and THERESA MARY MAY{s} met May{s} in May.", "[]", "<theresa_mary_may{s}> and <theresa_mary_may{s}> met <theresa_mary_may{s}> in May.", "<theresa_mary_may{s}> and <theresa_mary_may{s}> met <theresa_mary_may{s}> in May."),
+]
+TAGGED_SQL = spread_sql("x", [(c, coref, ner) for c, _, _, coref, ner in TO_TAG], "coref, ner", "string, string")
+
+
+def _tagged_texts(spark, d, mode):
     from presslens.plans import gazetteer
 
-    rows = gazetteer.aliases(_gazetteer(spark))
-    out = mentions.tag(table(spark, d, "documents").select("doc_id", "text"), gazetteer.name_table(rows), gazetteer.gated_words(rows), text="text")
-    return out.select("doc_id", "tagged_text", "tag_error")
+    people = spark.range(26).select(F.explode(F.array(*[F.concat(F.lit(n), F.chr(F.lit(97) + F.col("id"))) for n in ("Boris Johnson", "Theresa Mary May")])).alias("name_final"))
+    rows = gazetteer.aliases(people)
+    x = spread(spark, d, [(c, text, spans) for c, text, spans, _, _ in TO_TAG], "text, spans", "string, string")
+    spans = F.from_json("spans", "array<array<array<int>>>")
+    x = x.withColumn("coref", F.transform(spans, lambda c: F.transform(c, lambda s: F.struct(s[0].alias("start"), s[1].alias("end")))))
+    out = mentions.tag(x, gazetteer.name_table(rows), gazetteer.gated_words(rows), text="text", mode=mode, coref="coref" if mode == "coref" else None)
+    return out.select("c_custkey", "tagged_text", "tag_error")
+
+
+@query("dom02_tag_coref", f"WITH {TAGGED_SQL} SELECT c_custkey, coref AS tagged_text, CAST(NULL AS VARCHAR) AS tag_error FROM x")
+def tag_coref(spark, d):
+    """DOM02 with pronouns resolved by coreference spans, then names and gated single words; JON18, FLT15, ARR03."""
+    return _tagged_texts(spark, d, "coref")
 
 
-@query("dom03_tag_ner")
+@query("dom03_tag_ner", f"WITH {TAGGED_SQL} SELECT c_custkey, ner AS tagged_text, CAST(NULL AS VARCHAR) AS tag_error FROM x")
 def tag_ner(spark, d):
-    """DOM03: names, gated words, then near names."""
-    from presslens.plans import gazetteer
+    """DOM03: names, gated words, then near names; a lone surname stays where its person isn't named."""
+    return _tagged_texts(spark, d, "ner")
+
 
-    rows = gazetteer.aliases(_gazetteer(spark))
-    out = mentions.tag(table(spark, d, "documents").select("doc_id", "text"), gazetteer.name_table(rows), gazetteer.gated_words(rows), text="text", mode="ner")
-    return out.select("doc_id", "tagged_text", "tag_error")
+@query("dom06_sentence_passives", f"WITH {sentences_sql()} SELECT doc_id, sent_id, CAST(len(regexp_extract_all(sentence, $re${frames.PASSIVE}$re$)) AS BIGINT) AS n FROM sentences WHERE regexp_matches(sentence, $re${frames.PASSIVE}$re$)")
+def sentence_passives(spark, d):
+    """DOM06 by sentence."""
+    x = table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sent_id", "sentence"))
+    return x.select("doc_id", "sent_id", frames.passive_count(F.col("sentence")).cast("long").alias("n")).where("n > 0")
 
 
 @query("dom04_person_sentences", f"WITH {MENTIONS_SQL} SELECT doc_id, sent_id, mp, gender, md5(sentence) AS digest FROM mentioned")
@@ -181,23 +204,47 @@ WEIGHTED = [("the", 0.5, 0.1, 0.1, 0.2, 0.1, 0.4, -0.2, 0.1, 0.0, -0.3), ("of",
 WEIGHTED_NAMES = ", ".join([*[f"{f}_p" for f in frames.FOUNDATIONS], *[f"{f}_sent" for f in frames.FOUNDATIONS]])
 
 
-@query("dom05b_word_probabilities", rf"""
-    WITH {named(WEIGHTED, "dict", "word, " + WEIGHTED_NAMES)}, w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS word FROM documents),
-    m AS (SELECT doc_id, count(*) AS moral_words, {", ".join(f"avg({f}_p::DOUBLE) AS p{i}, avg({f}_sent::DOUBLE) AS s{i}" for i, f in enumerate(frames.FOUNDATIONS))} FROM w JOIN dict USING (word) GROUP BY doc_id)
-    SELECT doc_id, moral_words, round(p0, 6) AS care_p, round(s0, 6) + 0.0 AS care_sent, round(list_var_samp([p0, p1, p2, p3, p4]), 4) AS f_var, round(list_var_samp([s0, s1, s2, s3, s4]), 4) AS sent_var FROM m""")
+def _mean(c: str, name: str) -> str:
+    """An exact mean, rounded."""
+    return f"round(sum(CAST({c} AS DECIMAL(20, 10)))::DOUBLE / count(*), 6) + 0.0 AS {name}"
+
+
+def _variance(names: list[str]) -> str:
+    mean = f"(({' + '.join(names)}) / {len(names)})"
+    return "(" + " + ".join(f"({n} - {mean}) * ({n} - {mean})" for n in names) + f") / {len(names) - 1}"
+
+
+WEIGHTED_SQL = rf"WITH {named(WEIGHTED, 'dict', 'word, ' + WEIGHTED_NAMES)}, w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS word FROM documents)"
+BOTH = [(f"{f}_{k}", f"{f}_{k}") for f in frames.FOUNDATIONS for k in ("p", "sent")]
+
+
+@query("dom05b_word_probabilities", f"""
+    {WEIGHTED_SQL}, m AS (SELECT doc_id, count(*) AS moral_words, {", ".join(f"sum(CAST({c} AS DECIMAL(20, 10)))::DOUBLE / count(*) AS {n}" for c, n in BOTH)} FROM w JOIN dict USING (word) GROUP BY doc_id)
+    SELECT doc_id, moral_words, {", ".join(f"round({n}, 6) + 0.0 AS {n}" for _, n in BOTH)}, {_variance([f"{f}_p" for f in frames.FOUNDATIONS])} AS f_var, {_variance([f"{f}_sent" for f in frames.FOUNDATIONS])} AS sent_var FROM m""")
 def word_probabilities(spark, d):
     dictionary = constant(spark, WEIGHTED, "word, " + WEIGHTED_NAMES, "string" + ", double" * 10)
     x = frames.word_probabilities(table(spark, d, "documents"), "doc_id", "text", dictionary)
-    return x.select("doc_id", "moral_words", *[(F.round(c, n) + F.lit(0.0)).alias(c) for c, n in (("care_p", 6), ("care_sent", 6), ("f_var", 4), ("sent_var", 4))])
+    return x.select("doc_id", "moral_words", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c, _ in BOTH], "f_var", "sent_var")
+
+
+def _top(i: int) -> str:
+    """Whether foundation i is a word's most probable, ties in order."""
+    f = frames.FOUNDATIONS
+    return " AND ".join(["TRUE", *(f"{f[i]}_p > {x}_p" for x in f[:i]), *(f"{f[i]}_p >= {x}_p" for x in f[i + 1 :])])
 
 
-@query("dom05b_single_vice_virtue", rf"""
-    WITH {named(WEIGHTED, "dict", "word, " + WEIGHTED_NAMES)}, w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS word FROM documents)
-    SELECT doc_id, count(*) AS moral_words, round(avg(CASE WHEN care_sent > 0 AND care_p >= greatest(fairness_p, loyalty_p, authority_p, sanctity_p) THEN care_p::DOUBLE ELSE 0 END), 6) AS care_virtue, round(avg(CASE WHEN fairness_sent > 0 AND fairness_p > care_p AND fairness_p >= greatest(loyalty_p, authority_p, sanctity_p) THEN fairness_p::DOUBLE ELSE 0 END), 6) AS fairness_virtue FROM w JOIN dict USING (word) GROUP BY doc_id""")
+@query("dom05b_single", f"{WEIGHTED_SQL} SELECT doc_id, count(*) AS moral_words, " + ", ".join(_mean(f"CASE WHEN {_top(i)} THEN {f}_{k} ELSE 0 END", f"{f}_{k}") for i, f in enumerate(frames.FOUNDATIONS) for k in ("p", "sent")) + " FROM w JOIN dict USING (word) GROUP BY doc_id")
+def single(spark, d):
+    dictionary = constant(spark, WEIGHTED, "word, " + WEIGHTED_NAMES, "string" + ", double" * 10)
+    x = frames.word_probabilities(table(spark, d, "documents"), "doc_id", "text", dictionary, single=True)
+    return x.select("doc_id", "moral_words", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c, _ in BOTH])
+
+
+@query("dom05b_single_vice_virtue", f"{WEIGHTED_SQL} SELECT doc_id, count(*) AS moral_words, " + ", ".join(_mean(f"CASE WHEN {f}_sent {sign} 0 AND {_top(i)} THEN {f}_p ELSE 0 END", f"{f}_{name}") for i, f in enumerate(frames.FOUNDATIONS) for sign, name in ((">", "virtue"), ("<", "vice"))) + " FROM w JOIN dict USING (word) GROUP BY doc_id")
 def single_vice_virtue(spark, d):
     dictionary = constant(spark, WEIGHTED, "word, " + WEIGHTED_NAMES, "string" + ", double" * 10)
     x = frames.word_probabilities(table(spark, d, "documents"), "doc_id", "text", dictionary, single=True, vice_virtue=True)
-    return x.select("doc_id", "moral_words", F.round("care_virtue", 6).alias("care_virtue"), F.round("fairness_virtue", 6).alias("fairness_virtue"))
+    return x.select("doc_id", "moral_words", *[(F.round(f"{f}_{k}", 6) + F.lit(0.0)).alias(f"{f}_{k}") for f in frames.FOUNDATIONS for k in ("virtue", "vice")])
 
 
 @query("dom05c_wordlist", rf"WITH {named(MORAL, 'dict', 'word, category')}, w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS word FROM documents) SELECT doc_id, category, count(*) AS n FROM w JOIN dict USING (word) GROUP BY 1, 2")
@@ -243,7 +290,14 @@ def topic_labels(spark, d):
     return corpus_views.topic_labels(table(spark, d, "documents"), "lang", "text")
 
 
-TEXT_SQL = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({h}, '(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))"""
+def _unescaped(sql: str) -> str:
+    """Every named entity, and of the numeric ones that of the apostrophe, which is the one that pages hold."""
+    for entity, char in [*((f"&{name};", char) for name, char in H.NAMED.items() if name != "amp"), ("&#39;", "'"), ("&amp;", "&")]:
+        sql = f"replace({sql}, '{entity}', {literal(char)})"
+    return sql
+
+
+TEXT_SQL = "trim(regexp_replace(" + _unescaped(r"regexp_replace(regexp_replace({h}, '(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g')") + r", '\s+', ' ', 'g'))"
 
 
 @query("txt26_html_text", f"SELECT page_id, CAST(length({TEXT_SQL.format(h='html')}) AS BIGINT) AS chars, md5({TEXT_SQL.format(h='html')}) AS digest FROM pages")

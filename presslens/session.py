@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -26,12 +27,23 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
 
 
 def ship(spark: SparkSession) -> None:
-    """Make the package importable in Python workers, unless PYTHONPATH (or an installation) already does so. Once for each application."""
+    """Make the package importable in Python workers. On one machine PYTHONPATH may do so already; executors elsewhere don't have the driver's. Once for each application."""
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     _shipped.add(app)
-    if str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or "site-packages" in str(ROOT):
+    here = str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or "site-packages" in str(ROOT)
+    if here and spark.sparkContext.master.startswith("local"):
         return
     at = tempfile.mkdtemp(prefix="presslens-")
     spark.sparkContext.addPyFile(shutil.make_archive(f"{at}/presslens", "zip", ROOT, "presslens"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; only on one machine, where it may be unset, in a folder of our own."""
+    at = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="presslens-")
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"

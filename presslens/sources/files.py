@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import itertools
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,26 +53,37 @@ def read_parts(spark: SparkSession, paths: list[str], schema: str | None = None)
     return read_csv(spark, there, schema)
 
 
-def read_topics(spark: SparkSession, directory: str, schema: str | None = None) -> DataFrame:
-    """A folder of one CSV for each topic; topic is the file's stem."""
+def read_topics(spark: SparkSession, directory: str, schema: str | None = None, skip: list[str] | None = None) -> DataFrame:
+    """A folder of one CSV for each topic; topic is the file's stem. Topics to skip aren't read into rows; empty ones have none."""
     if not _exists(spark, f"{directory}/*.csv"):
         raise FileNotFoundError(f"no CSV in {directory}")
-    return read_csv(spark, f"{directory}/*.csv", schema).withColumn("topic", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv$", 1))
+    found = read_csv(spark, f"{directory}/*.csv", schema).withColumn("topic", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv$", 1))
+    return found.where(~F.col("topic").isin(skip)) if skip else found
 
 
 def read_zip_member(spark: SparkSession, path: str, member: str, schema: str | None = None) -> DataFrame:
-    """A CSV in a ZIP file: each archive is opened where its bytes are."""
+    """A CSV with a header in ZIP files, its fields as in read_csv(). Each archive is opened where its bytes are. Without a schema all columns are strings, named by the first archive's header."""
 
-    def lines(rows):
-        import io
+    def rows(content: bytes) -> Iterator[list[str | None]]:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            yield from csv.reader(io.TextIOWrapper(z.open(member), "utf-8-sig", newline=""))
 
-        for _, content in rows:
-            with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
-                yield z.read(member).decode("utf-8")
+    archives = spark.read.format("binaryFile").load(path).select("content")
+    if schema is None:
+        names = next(rows(bytes(archives.first().content)))
+        schema = ", ".join(f"`{n}` string" for n in names)
+    kinds = spark.createDataFrame([], schema).schema
 
-    texts = spark.sparkContext.binaryFiles(path).mapPartitions(lines)
-    r = spark.read.option("header", True).option("quote", '"').option("escape", '"')
-    return (r.schema(schema) if schema else r).csv(texts.flatMap(str.splitlines))
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column(0):
+                parsed = rows(content.as_py())
+                at = {n: i for i, n in enumerate(next(parsed, []))}
+                while held := list(itertools.islice(parsed, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array([(r[at[n]] or None) if n in at and at[n] < len(r) else None for r in held], pa.string()) for n in kinds.names], names=kinds.names)
+
+    found = archives.mapInArrow(parse, ", ".join(f"`{n}` string" for n in kinds.names))
+    return found.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in kinds])
 
 
 def read_lines(spark: SparkSession, path: str, name: str = "word") -> DataFrame:
@@ -97,6 +114,20 @@ def write_topics(df: DataFrame, path: str, topic: str = "topic") -> None:
     df.withColumn("_folder", file_safe(F.col(topic))).repartition("_folder").write.mode("overwrite").partitionBy("_folder").parquet(path)
 
 
+def write_topic_files(df: DataFrame, path: str, topic: str = "topic") -> None:
+    """One CSV file for each topic, named by it, as read_topics() reads them. A topic is one task's work: its file is one. Files are renamed when all are written, which takes their names alone."""
+    spark, folder = df.sparkSession, file_safe(F.col(topic))
+    df.withColumn("_folder", folder).repartition("_folder").drop(topic).write.mode("overwrite").partitionBy("_folder").option("header", True).option("escape", '"').csv(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(at):
+        name = folder.getPath().getName()
+        if name.startswith("_folder="):
+            for part in fs.listStatus(folder.getPath()):
+                fs.rename(part.getPath(), at.suffix(f"/{unquote(name[8:])}.csv"))
+            fs.delete(folder.getPath(), True)
+
+
 def write_people(df: DataFrame, path: str, person: str = "person") -> None:
     df.withColumn("person_slug", slug(F.col(person))).repartition("person_slug").write.mode("overwrite").partitionBy("person_slug").parquet(path)
 
@@ -116,5 +147,10 @@ def page_keys(pages: DataFrame, url: str = "url", stamp: str = "stamp") -> DataF
     return pages.withColumn("key", F.sha1(F.concat_ws("|", url, stamp).cast("binary")))
 
 
+def write_pages(pages: DataFrame, path: str, body: str = "html", url: str = "url", stamp: str = "stamp") -> None:
+    """Each page's bytes once under its key; a page without a body has none."""
+    page_keys(pages, url, stamp).where(F.col(body).isNotNull()).select("key", F.col(body).cast("binary").alias("body")).dropDuplicates(["key"]).write.mode("append").parquet(path)
+
+
 def stem(path: str) -> str:
     return Path(path).stem

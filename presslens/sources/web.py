@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presslens.functions.values import text_or_object
@@ -10,6 +10,14 @@ from presslens.functions.values import text_or_object
 MEMBER = "items array<struct<value:struct<id:bigint,nameDisplayAs:string,nameListAs:string,nameFullTitle:string,gender:string,latestParty:struct<name:string>,latestHouseMembership:struct<house:int,membershipFrom:string,membershipStartDate:string,membershipEndDate:string>>>>, totalResults bigint"
 
 
+def complete_pages(pages: DataFrame, body: str = "body") -> DataFrame:
+    """The pages, once it is known that together they hold as many items as the largest total that one of them names: a walk that stopped early is an error."""
+    v = pages.select(F.from_json(body, MEMBER).alias("v")).agg(F.sum(F.size("v.items")).alias("held"), F.max("v.totalResults").alias("total")).first()
+    if v.total is not None and (v.held or 0) < v.total:
+        raise ValueError(f"{v.held} of {v.total} items: pages are missing")
+    return pages
+
+
 def api_members(pages: DataFrame, body: str = "body") -> DataFrame:
     """A row for each member of paged API responses."""
     v = pages.select(F.explode(F.from_json(body, MEMBER)["items"]).alias("i")).select("i.value.*")
@@ -17,13 +25,32 @@ def api_members(pages: DataFrame, body: str = "body") -> DataFrame:
 
 
 def bulk_memberships(responses: DataFrame, body: str = "body") -> DataFrame:
-    """(id, start, end) of bulk responses: a byte order mark before the JSON, one member or a list of them, dates as text or objects."""
-    bare = F.regexp_replace(body, "^﻿", "")
-    member = F.get_json_object(bare, "$.Members.Member")
-    one = F.when(member.startswith("["), F.from_json(member, "array<string>")).otherwise(F.array(member))
-    m = responses.select(F.explode(one).alias("m"))
-    date = lambda name: F.substring(text_or_object(F.get_json_object("m", f"$.{name}")), 1, 10)
-    return m.select(F.coalesce(F.get_json_object("m", "$.@Member_Id"), F.get_json_object("m", "$.MemberId")).cast("long").alias("id"), date("StartDate").alias("start"), date("EndDate").alias("end"))
+    """(id, start, end) of each member's latest time in the lower house by bulk responses: a byte order mark before the JSON, one member or a list of them, one house or a list, dates as text or objects.
+
+    A response that is XML is read as such. Members that tell no houses have their own dates.
+    """
+    bare = F.regexp_replace(body, "^\ufeff", "")
+    xml, json = responses.where(F.ltrim(bare).startswith("<")), responses.where(~F.ltrim(bare).startswith("<"))
+    several = lambda c: F.when(c.startswith("["), F.from_json(c, "array<string>")).otherwise(F.array(c))
+    m = json.select(F.explode(several(F.get_json_object(bare, "$.Members.Member"))).alias("m"))
+    houses = F.get_json_object("m", "$.HouseMemberships.HouseMembership")
+    h = m.select("m", houses.isNull().alias("own"), F.explode(several(F.coalesce(houses, F.col("m")))).alias("h"))
+    h = h.where(F.col("own") | F.lower(F.coalesce(text_or_object(F.get_json_object("h", "$.House")), F.lit(""))).contains("commons"))
+    date = lambda name: F.substring(text_or_object(F.get_json_object("h", f"$.{name}")), 1, 10)
+    found = h.select(F.coalesce(F.get_json_object("m", "$.@Member_Id"), F.get_json_object("m", "$.MemberId")).try_cast("long").alias("id"), date("StartDate").alias("start"), date("EndDate").alias("end"))
+    every = found.unionByName(_xml_memberships(xml, bare)).where("id IS NOT NULL")
+    return every.groupBy("id").agg(F.max(F.struct("start", "end")).alias("s")).select("id", "s.start", "s.end")
+
+
+def _xml_memberships(responses: DataFrame, bare: Column) -> DataFrame:
+    """The same of XML responses: Member elements with an attribute Member_Id, and in them HouseMembership elements. An element that is missing or empty is null."""
+    plain = F.regexp_replace(F.regexp_replace(bare, r"^\s*<\?xml[^>]*\?>", ""), r'\sxmlns(:\w+)?="[^"]*"|\s\w+:\w+="[^"]*"', "")
+    m = responses.select(F.explode(F.regexp_extract_all(plain, F.lit(r"(?s)<Member[\s>].*?</Member>"), 0)).alias("m"))
+    houses = F.regexp_extract_all("m", F.lit(r"(?s)<HouseMembership[\s>].*?</HouseMembership>"), 0)
+    h = m.select("m", (F.size(houses) == 0).alias("own"), F.explode(F.when(F.size(houses) > 0, houses).otherwise(F.array("m"))).alias("h"))
+    h = h.where(F.col("own") | F.lower(F.regexp_extract("h", r"<House[\s>][^<]*|<House>([^<]*)", 0)).contains("commons"))
+    date = lambda name: F.nullif(F.substring(F.regexp_extract("h", rf"<{name}>\s*([^<]*?)\s*</{name}>", 1), 1, 10), F.lit(""))
+    return h.select(F.regexp_extract("m", r'Member_Id="(\d+)"', 1).try_cast("long").alias("id"), date("StartDate").alias("start"), date("EndDate").alias("end"))
 
 
 def sitemap_locations(documents: DataFrame, xml: str = "xml") -> DataFrame:
@@ -46,7 +73,7 @@ def crawl_order(index: DataFrame, sitemaps: DataFrame, depth: int = 3) -> DataFr
 def captures(listings: DataFrame, body: str = "body") -> DataFrame:
     """A web archive's capture listing, an array of rows under a header row, as relation: pages with status 200, of neighbours with one digest the first."""
     rows = F.from_json(body, "array<array<string>>")
-    r = listings.select(rows.alias("r")).select(F.col("r")[0].alias("head"), F.posexplode(F.slice("r", 2, 1_000_000)).alias("at", "row"))
+    r = listings.select(rows.alias("r")).select(F.col("r")[0].alias("head"), F.posexplode(F.slice("r", F.lit(2), F.greatest(F.size("r") - 1, F.lit(0)))).alias("at", "row"))
     m = r.select("at", F.map_from_arrays("head", "row").alias("m"))
     names = ["timestamp", "original", "statuscode", "mimetype", "digest", "length"]
     out = m.select("at", *[F.try_element_at("m", F.lit(n)).alias(n) for n in names]).where("statuscode = '200'")

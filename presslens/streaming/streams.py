@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from presslens.session import scratch
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int | None = None, fmt: str = "parquet") -> DataFrame:
@@ -47,9 +50,16 @@ def score_stream(df: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> D
     return operator(df)
 
 
-def drain(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """The result over everything available, as a table in memory; for tests and small reports."""
-    w = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    q = (w.option("checkpointLocation", checkpoint) if checkpoint else w).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+def drain(df: DataFrame, mode: str = "append") -> DataFrame:
+    """The result over everything that is available, read back from a table in the shared folder; nothing is gathered by the driver. In complete mode the last batch is the result; in update mode the rows of all batches are given, with their number in batch."""
+    at = scratch(df.sparkSession, "stream")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
+
+    w = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{at}/checkpoint")
+    (w.format("parquet").start(f"{at}/rows") if mode == "append" else w.foreachBatch(write).start()).awaitTermination()
+    rows = df.sparkSession.read.schema(StructType([*df.schema.fields, StructField("batch", IntegerType())]) if mode != "append" else df.schema).parquet(f"{at}/rows")
+    if mode == "complete":
+        rows = rows.join(rows.agg(F.max("batch").alias("last")), F.col("batch") == F.col("last")).drop("last")
+    return rows if mode == "update" else rows.drop("batch")

@@ -5,7 +5,7 @@ import pytest
 from presslens import catalog
 from tests.conftest import same_rows
 
-SLOW = {"annotated_corpus_edges"}
+SLOW: set[str] = set()
 
 
 @pytest.mark.parametrize("name", [n for n in catalog.queries() if n in catalog.oracle_sql()])
