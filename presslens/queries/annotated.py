@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from presslens.functions import text as T
 from presslens.operators import joins as J
 from presslens.operators.sampling import AT_MOST
-from presslens.plans import causal, gazetteer, personas, snippets
+from presslens.plans import annotate, causal, gazetteer, personas, snippets
 from presslens.queries import constant, named, query, spread, spread_sql, table
 
 LEXICON = [("click", 1.0, -1.0), ("view", -1.0, 1.0), ("purchase", 0.0, 0.0), ("error", -1.0, 0.0)]
@@ -212,6 +212,21 @@ def rescored_edges(spark, d):
     return causal.rescore(found, causal.classified(classify, F.col("text"), F.col("cause"), F.col("effect")), 0.3).select("article_index", "evidence", "confidence")
 
 
+#: Texts for the rule-based annotator, and the edges that are found in what it makes of them.
+STATED = [(0, "The Cuts{s} triggered a backlash."), (1, "Cuts{s} led to a crisis."), (2, "Nothing happened here."), (3, "Delay because of Smith{s}."), (4, "The vote{s} resulted in a victory. It rained."), (5, None)]
+STATED_EDGES = [(0, "CAUSED", "The Cuts{s}", "a backlash", 0.75, "causative_verb:trigger"), (1, "CAUSED", "Cuts{s}", "a crisis", 0.65, "causative_verb:lead"), (3, "CAUSAL_PREP", "Smith{s}", "Delay", 0.6, "marker:because_of"), (4, "CAUSED", "The vote{s}", "a victory", 0.65, "causative_verb:result"), (5, None, None, None, None, None)]
+
+
+@query("annotated_corpus_edges", f"WITH {spread_sql('x', STATED_EDGES, 'relation, cause, effect, confidence, evidence', 'string, string, string, double, string', **EVENTS)} SELECT event_id AS article_index, relation, cause, effect, confidence, evidence FROM x WHERE relation IS NOT NULL")
+def annotated_corpus_edges(spark, d):
+    """The rule-based annotator and the causal families over a text for each event."""
+    docs = spread(spark, d, STATED, "text", "string", **EVENTS).withColumnRenamed("event_id", "doc_id")
+    a = annotate.annotate(docs)
+    spans = causal.candidates(a["ann_token"], a["ann_entity"], a["ann_chunk"])
+    owners = docs.select("doc_id", F.lit("all").alias("person"), F.col("doc_id").alias("article_index"), F.lit(1).alias("snippet_index"))
+    return causal.edges(a["ann_token"], spans, owners).select("article_index", "relation", "cause", "effect", "confidence", "evidence")
+
+
 @query("agg26_topic_info", "SELECT source AS topic_id, count(*) AS n FROM documents GROUP BY source")
 def topic_info(spark, d):
     return table(spark, d, "documents").groupBy(F.col("source").alias("topic_id")).agg(F.count(F.lit(1)).alias("n"))

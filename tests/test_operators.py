@@ -310,3 +310,41 @@ def test_stream_appends_once(spark, tmp_path):
     run()
     run()
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_named_gender_against_plain_python(spark, sf):
+    import re
+    from collections import Counter
+
+    from presslens.plans import annotate, corpus_views
+
+    own = ["The Orre met The Orre, and Of Orre met Orre Orre", "Orre Lund saw Of Lund and The Berg", "Lund Orre. The Lund, Of Lund", None]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(own)], "doc_id long, text string"))
+    guesses = {"the": "male", "of": "mostly_female", "orre": "female"}
+    n = Counter()
+    for r in docs.collect():
+        seen = set()
+        for m in re.finditer(r"([A-Z\u00C0-\u00DE][^\W\d_'’-]?(?:[^\W\d_]|['’-])+(?:\s+[A-Z\u00C0-\u00DE](?:[^\W\d_]|['’-])+)+)", r.text or ""):
+            words = m[0].split()
+            if m[0].strip() not in seen and words[1] not in seen:
+                seen |= {m[0].strip(), words[1]}
+                guess = guesses.get(words[0].lower(), "")
+                n["male" if guess.endswith("male") and "female" not in guess else "female" if "female" in guess else "unknown"] += 1
+    first = spark.createDataFrame([(a.title(), b) for a, b in guesses.items()], "first string, gender string")
+    got = {r.gender: r.n for r in corpus_views.named_gender(annotate.people(docs), first).collect()}
+    assert got == dict(n) and set(got) == {"male", "female", "unknown"}
+
+
+def test_missing_pages_are_told(spark):
+    from presslens.sources import web
+
+    page = '{"items": [{"value": {"id": 7}}], "totalResults": 2}'
+    with pytest.raises(ValueError, match="1 of 2"):
+        web.complete_pages(spark.createDataFrame([(page,)], "body string"))
+
+
+def test_entities(spark):
+    from presslens.functions.html import unescape
+
+    d = spark.createDataFrame([("&lt;a&gt; &amp;lt; &eacute;&#233;&#xE9; &#8364;&euro; &nosuch; &#0; &#xD800; &#128512; A&nbsp;B & C",), ("none",), (None,)], "s string")
+    assert [r[0] for r in d.select(unescape(F.col("s"))).collect()] == ["<a> &lt; ééé €€ &nosuch; &#0; &#xD800; 😀 A B & C", "none", None]
