@@ -15,6 +15,8 @@ from presslens.llm.common import cut, few, given_back, renamed, set_aside, slice
 from presslens.llm.components import connected_components
 
 BITS = 64
+#: Rows that a task compares: they are few bytes but take long, so their number decides on tasks, not their size.
+ROWS = 25_000
 #: Shingle hashes whose bits are counted at once; longer texts are counted slice by slice.
 SLICE = 1 << 15
 
@@ -205,11 +207,12 @@ def hamming_links(fps: DataFrame, radius: int = 4, refs: int = 16, hot: int = 40
     No link is lost; of the links inside a task those that close a circle are left out, so that the output grows with the fingerprints, not with their pairs.
     A mask value shared by more than ``hot`` fingerprints is dealt to several tasks.
     """
-    masks = block_masks(fps.count(), radius)
+    n = fps.count()
+    masks = block_masks(n, radius)
     signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
     keys = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(signed)])
     dealt = split_hot(fps.select("fp", F.explode(keys).alias("key")), ["key"], F.col("fp"), hot)
-    dealt = dealt.select("key", "task_i", "task_j", "part", "fp").repartition("key", "task_i", "task_j").sortWithinPartitions("key", "task_i", "task_j")
+    dealt = dealt.select("key", "task_i", "task_j", "part", "fp").repartition(n * len(masks) // ROWS + 1, "key", "task_i", "task_j").sortWithinPartitions("key", "task_i", "task_j")
     return dealt.mapInArrow(_search(radius, refs), "a long, b long")
 
 
