@@ -50,6 +50,25 @@ def main_text(html: Column, least: int = LEAST_CHARS) -> Column:
     return F.when(F.length(article) > least, article).when(F.length(rest) > least, rest)
 
 
+#: Elements whose text isn't an article's, and the blocks that hold an article's text.
+BOILERPLATE = ["head", "nav", "header", "footer", "aside", "form", "table", "figure"]
+BLOCKS = r"(?:p|h[1-6]|li|blockquote|pre)"
+
+
+def article_text(html: Column, least: int = LEAST_CHARS) -> Column:
+    """(text, method): the blocks of text outside boilerplate that aren't mostly links, in order ("blocks"); if these have no more than ``least`` characters all text of the page ("page"); null if that has no more either.
+
+    A block counts as links if more than half of its characters stand in <a>.
+    """
+    h = F.coalesce(html, F.lit(""))
+    plain = F.regexp_replace(h, "(?is)" + "|".join(rf"<{e}\b[^>]*>.*?</{e}>" for e in BOILERPLATE), " ")
+    blocks = F.regexp_extract_all(plain, F.lit(rf"(?is)<{BLOCKS}\b[^>]*>(.*?)</{BLOCKS}>"), 1)
+    linked = lambda b: F.length(to_text(F.array_join(F.regexp_extract_all(b, F.lit(r"(?is)<a\b[^>]*>(.*?)</a>"), 1), " ")))
+    told = F.filter(F.transform(blocks, lambda b: F.struct(to_text(b).alias("text"), linked(b).alias("linked"))), lambda x: (F.length(x["text"]) > 0) & (x["linked"] * 2 <= F.length(x["text"])))
+    inside, page = F.array_join(F.transform(told, lambda x: x["text"]), " "), to_text(h)
+    return F.when(F.length(inside) > least, F.struct(inside.alias("text"), F.lit("blocks").alias("method"))).when(F.length(page) > least, F.struct(page.alias("text"), F.lit("page").alias("method")))
+
+
 def _attribute(html: Column, element: str, attribute: str, value: str, wanted: str) -> Column:
     """The attribute ``wanted`` of the first element with attribute="value", in either order."""
     pick = lambda p: F.nullif(F.trim(F.regexp_extract(html, p, 1)), F.lit(""))

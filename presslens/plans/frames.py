@@ -73,6 +73,26 @@ def wordlist_counts(df: DataFrame, key: str, text: str, words: DataFrame) -> Dat
     return df.select(key, F.explode(word_tokens(F.col(text))).alias("word")).join(words, "word").groupBy(key, "category").agg(F.count(F.lit(1)).alias("n"))
 
 
+def ngram_scores(ngrams: DataFrame, key: str, word: str, n: str, dictionary: DataFrame) -> DataFrame:
+    """(key, category, n) for counted words (key, word, n), taken as they are: how often words of each category were said."""
+    return ngrams.join(dictionary, F.col(word) == dictionary["word"]).groupBy(key, "category").agg(F.sum(n).alias("n"))
+
+
+def entity_words(tokens: DataFrame, entities: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(doc_id, entity, role, category, n): moral words around named people. role: agent for verbs that the entity does, patient for verbs that it suffers, attribute for its modifiers and appositions.
+
+    tokens and entities are ann_token and ann_entity; dictionary (word, category) is met on lemmas.
+    """
+    t = tokens.select(F.col("doc_id").alias("_d"), F.col("tok_i").alias("_i"), F.lower("lemma").alias("_lemma"), F.col("pos").alias("_pos"), F.col("dep").alias("_dep"), F.col("head_i").alias("_h"))
+    named = entities.where("label = 'PERSON'").select("doc_id", "start", "end", F.col("text").alias("entity"))
+    inside = named.join(t, (F.col("doc_id") == F.col("_d")) & (F.col("_i") >= F.col("start")) & (F.col("_i") < F.col("end"))).select("doc_id", "start", "end", "entity", F.col("_i").alias("i"), F.col("_dep").alias("dep"), F.col("_h").alias("h"))
+    role = F.when(F.col("dep").isin("nsubj", "agent"), "agent").when(F.col("dep").isin("dobj", "obj", "nsubj:pass", "nsubjpass", "iobj", "pobj"), "patient")
+    verbs = inside.withColumn("role", role).where("role IS NOT NULL").join(t.where("_pos = 'VERB'"), (F.col("doc_id") == F.col("_d")) & (F.col("h") == F.col("_i"))).select("doc_id", "entity", "role", "_lemma")
+    own = t.where(F.col("_dep").isin("amod", "appos", "attr", "compound") & (F.col("_i") != F.col("_h")))
+    told = inside.join(own, (F.col("doc_id") == F.col("_d")) & (F.col("i") == F.col("_h")) & ((F.col("_i") < F.col("start")) | (F.col("_i") >= F.col("end")))).select("doc_id", "entity", F.lit("attribute").alias("role"), "_lemma")
+    return verbs.unionByName(told).join(dictionary, F.col("_lemma") == F.col("word")).groupBy("doc_id", "entity", "role", "category").agg(F.count(F.lit(1)).alias("n"))
+
+
 def moral_by_gender(scored: DataFrame, topic: str = "topic", gender: str = "gender") -> DataFrame:
     """Sentences, mean valence, summed valence and mean normalised valence of each topic and gender; sentences without a gender are a group of their own."""
     return scored.groupBy(topic, gender).agg(F.count(F.lit(1)).alias("total"), F.avg("valence").alias("valence_mean"), F.sum("valence").alias("valence_sum"), F.avg("valence_norm").alias("valence_norm_mean"))
@@ -82,6 +102,12 @@ def passive_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(PASSIVE)).cast("long")
 
 
+def passive_kinds(sentence: Column) -> Column:
+    """(full, truncated): passives that name who does it with by, and those that don't."""
+    full, every = F.regexp_count(sentence, F.lit(PASSIVE + r"\s+by\b")), F.regexp_count(sentence, F.lit(PASSIVE))
+    return F.struct(full.alias("full"), (every - full).alias("truncated"))
+
+
 def passive_flags(df: DataFrame, text: str) -> DataFrame:
     """df with passives, full (with a by-phrase) and truncated."""
     full = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(PASSIVE + rf"(?:\s+{WORD_CHARS}){{0,3}}?\s+by\b")).cast("long")

@@ -227,6 +227,22 @@ def annotated_corpus_edges(spark, d):
     return causal.edges(a["ann_token"], spans, owners).select("article_index", "relation", "cause", "effect", "confidence", "evidence")
 
 
+MORAL_TOKENS = tokens_of(0, [("Kind", "kind", "ADJ", "amod", 1), ("Ann{s}", "ann", "PROPN", "nsubj", 2), ("protected", "protect", "VERB", "ROOT", 2), ("Bob{s}", "bob", "PROPN", "dobj", 2)]) + tokens_of(1, [("They", "they", "PRON", "nsubj", 1), ("betrayed", "betray", "VERB", "ROOT", 1), ("Ann{s}", "ann", "PROPN", "dobj", 1)])
+MORAL_ENTITIES = [(0, 1, 2, "Ann{s}", "PERSON"), (0, 3, 4, "Bob{s}", "PERSON"), (1, 2, 3, "Ann{s}", "PERSON")]
+MORAL_DICTIONARY = [("protect", "care.virtue"), ("kind", "care.virtue"), ("betray", "loyalty.vice"), ("protect", "authority.virtue")]
+MORAL_FOUND = [(0, "Ann{s}", "agent", "care.virtue"), (0, "Ann{s}", "agent", "authority.virtue"), (0, "Ann{s}", "attribute", "care.virtue"), (0, "Bob{s}", "patient", "care.virtue"), (0, "Bob{s}", "patient", "authority.virtue"), (1, "Ann{s}", "patient", "loyalty.vice")]
+
+
+@query("dom05c_entity_words", f"WITH {spread_sql('x', MORAL_FOUND, 'entity, role, category', 'string, string, string', **EVENTS)} SELECT event_id AS doc_id, entity, role, category, 1::BIGINT AS n FROM x")
+def entity_words(spark, d):
+    """DOM05c: moral verbs that people do and suffer, and their attributes."""
+    from presslens.plans import frames
+
+    tokens = spread(spark, d, MORAL_TOKENS, TOKEN_NAMES, TOKEN_KINDS, **EVENTS).withColumnRenamed("event_id", "doc_id")
+    people = spread(spark, d, MORAL_ENTITIES, "start, end, text, label", "int, int, string, string", **EVENTS).withColumnRenamed("event_id", "doc_id")
+    return frames.entity_words(tokens, people, constant(spark, MORAL_DICTIONARY, "word, category"))
+
+
 @query("agg26_topic_info", "SELECT source AS topic_id, count(*) AS n FROM documents GROUP BY source")
 def topic_info(spark, d):
     return table(spark, d, "documents").groupBy(F.col("source").alias("topic_id")).agg(F.count(F.lit(1)).alias("n"))

@@ -247,6 +247,24 @@ def single_vice_virtue(spark, d):
     return x.select("doc_id", "moral_words", *[(F.round(f"{f}_{k}", 6) + F.lit(0.0)).alias(f"{f}_{k}") for f in frames.FOUNDATIONS for k in ("virtue", "vice")])
 
 
+FULL = frames.PASSIVE + r"\s+by\b"
+PASSIVES = [(0, "The deal{s} was signed by Smith{s}."), (1, "It was never broken and is being mended{s} by hand."), (2, "He signed{s} it."), (3, "Rules{s} were quietly changed."), (4, None)]
+
+
+@query("dom06_passive_kinds", f"WITH {spread_sql('x', PASSIVES, 'sentence', 'string')} SELECT c_custkey, CAST(len(regexp_extract_all(sentence, $re${FULL}$re$)) AS INTEGER) AS n_full, CAST(len(regexp_extract_all(sentence, $re${frames.PASSIVE}$re$)) - len(regexp_extract_all(sentence, $re${FULL}$re$)) AS INTEGER) AS n_truncated FROM x")
+def passive_kinds(spark, d):
+    """DOM06's full and truncated passives."""
+    k = frames.passive_kinds(F.col("sentence"))
+    return spread(spark, d, PASSIVES, "sentence", "string").select("c_custkey", k["full"].alias("n_full"), k["truncated"].alias("n_truncated"))
+
+
+@query("dom05c_ngrams", f"WITH {named(MORAL, 'dict', 'word, category')}, g AS (SELECT source, w, count(*) AS n FROM (SELECT source, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM documents) GROUP BY 1, 2) SELECT source, category, sum(n)::BIGINT AS n FROM g JOIN dict ON w = word GROUP BY 1, 2")
+def ngrams(spark, d):
+    """DOM05c over counted words."""
+    g = table(spark, d, "documents").select("source", F.explode(T.word_tokens(F.col("text"))).alias("w")).groupBy("source", "w").agg(F.count(F.lit(1)).alias("n"))
+    return frames.ngram_scores(g, "source", "w", "n", constant(spark, MORAL, "word, category"))
+
+
 @query("dom05c_wordlist", rf"WITH {named(MORAL, 'dict', 'word, category')}, w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS word FROM documents) SELECT doc_id, category, count(*) AS n FROM w JOIN dict USING (word) GROUP BY 1, 2")
 def wordlist(spark, d):
     return frames.wordlist_counts(table(spark, d, "documents"), "doc_id", "text", constant(spark, MORAL, "word, category"))
@@ -329,6 +347,25 @@ def strip_fragment(spark, d):
     return table(spark, d, "pages").select("page_id", T.strip_fragment(F.col("url")).alias("url"))
 
 
+def _article_sql() -> str:
+    plain = "regexp_replace(coalesce(html, ''), '(?is)" + "|".join(rf"<{e}\b[^>]*>.*?</{e}>" for e in H.BOILERPLATE) + "', ' ', 'g')"
+    links = r"array_to_string(regexp_extract_all(b, '(?is)<a\b[^>]*>(.*?)</a>', 1), ' ')"
+    blocks = rf"regexp_extract_all({plain}, '(?is)<{H.BLOCKS}\b[^>]*>(.*?)</{H.BLOCKS}>', 1)"
+    return f"""
+        WITH b AS (SELECT page_id, unnest({blocks}) AS b, generate_subscripts({blocks}, 1) AS i FROM pages),
+        t AS (SELECT page_id, i, {TEXT_SQL.format(h="b")} AS text, length({TEXT_SQL.format(h=links)}) AS linked FROM b),
+        a AS (SELECT page_id, string_agg(text, ' ' ORDER BY i) AS inside FROM t WHERE length(text) > 0 AND linked * 2 <= length(text) GROUP BY page_id),
+        p AS (SELECT page_id, coalesce(inside, '') AS inside, {TEXT_SQL.format(h="coalesce(html, '')")} AS page FROM pages LEFT JOIN a USING (page_id))
+        SELECT page_id, CASE WHEN length(inside) > 200 THEN 'blocks' WHEN length(page) > 200 THEN 'page' END AS method, md5(CASE WHEN length(inside) > 200 THEN inside WHEN length(page) > 200 THEN page END) AS digest FROM p"""
+
+
+@query("txt27_article_text", _article_sql())
+def article_text(spark, d):
+    """TXT27 by blocks that aren't mostly links."""
+    x = table(spark, d, "pages").select("page_id", H.article_text(F.col("html")).alias("a"))
+    return x.select("page_id", F.col("a.method").alias("method"), F.md5(F.col("a.text").cast("binary")).alias("digest"))
+
+
 @query("txt28_published", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN '2020-01-02' WHEN 1 THEN '2021-02-03' WHEN 2 THEN '2022-03-04' END AS raw, CASE page_id % 4 WHEN 0 THEN 'jsonld:datePublished/dateCreated' WHEN 1 THEN 'meta:article:published_time' WHEN 2 THEN 'time:datetime' END AS source FROM pages")
 def published(spark, d):
     """Each page with one of the places of a date, or none, put in front."""

@@ -57,7 +57,7 @@ def read_topics(spark: SparkSession, directory: str, schema: str | None = None,
     """A folder of one CSV for each topic; topic is the file's stem. Topics to skip aren't read into rows; empty ones have none."""
     if not _exists(spark, f"{directory}/*.csv"):
         raise FileNotFoundError(f"no CSV in {directory}")
-    found = read_csv(spark, f"{directory}/*.csv", schema).withColumn("topic", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv$", 1))
+    found = read_csv(spark, f"{directory}/*.csv", schema).withColumn("topic", F.url_decode(F.replace(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv$", 1), F.lit("+"), F.lit("%2B"))))
     return found.where(~F.col("topic").isin(skip)) if skip else found
 
 

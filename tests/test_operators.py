@@ -348,3 +348,22 @@ def test_entities(spark):
 
     d = spark.createDataFrame([("&lt;a&gt; &amp;lt; &eacute;&#233;&#xE9; &#8364;&euro; &nosuch; &#0; &#xD800; &#128512; A&nbsp;B & C",), ("none",), (None,)], "s string")
     assert [r[0] for r in d.select(unescape(F.col("s"))).collect()] == ["<a> &lt; ééé €€ &nosuch; &#0; &#xD800; 😀 A B & C", "none", None]
+
+
+def test_tag_command(spark, tmp_path):
+    from presslens import tag
+    from presslens.sources import files
+
+    (tmp_path / "people.csv").write_text("Name,Aliases\nTheresa May,\nBoris Johnson,BoJo; \n")
+    (tmp_path / "in.tsv").write_text("URL\tContent\nu1\tTheresa May spoke. May left.\nu2\tnobody\n")
+    tag.main(["--people", f"{tmp_path}/people.csv", "--articles", f"{tmp_path}/in.tsv", "--output", f"{tmp_path}/out.json"], spark)
+    got = {r.url: r.tagged_text for r in spark.read.json(f"{tmp_path}/out.json").collect()}
+    assert got == {"u1": "<theresa_may> spoke. <theresa_may> left.", "u2": "nobody"}
+    (tmp_path / "topics").mkdir()
+    (tmp_path / "topics" / "a b.csv").write_text('text\n"Boris Johnson, twice\nBoris Johnson"\n')
+    (tmp_path / "topics" / "c.csv").write_text("text\nnone\n")
+    tag.main(["--people", f"{tmp_path}/people.csv", "--topic-dir", f"{tmp_path}/topics", "--output-dir", f"{tmp_path}/tagged", "--mode", "all"], spark)
+    got = {r.topic: r.tagged_text for r in files.read_topics(spark, f"{tmp_path}/tagged").collect()}
+    assert got == {"a_b": "<boris_johnson>, twice\n<boris_johnson>", "c": "none"}
+    with pytest.raises(SystemExit):
+        tag.main(["--people", "x"], spark)
