@@ -77,6 +77,17 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(cut, lambda s: F.trim(s)), lambda s: s != "")
 
 
+#: Words that a stop may follow without ending a sentence.
+ABBREVIATIONS = ["Mr", "Mrs", "Ms", "Dr", "Prof", "St", "Rt", "Hon", "Rev", "Sen", "Gen", "Col", "Capt", "Sgt", "Jr", "Sr", "No", "vs", "etc", "e.g", "i.e", "cf", "approx", "Inc", "Ltd", "Co", "Corp", "a.m", "p.m", "U.S", "U.K"]
+
+
+def careful_sentences(c: Column, abbreviations: list[str] = ABBREVIATIONS) -> Column:
+    """sentences(), but a stop after an abbreviation or a single capital letter ends none. Trained splitters learn such words; here they are a list."""
+    words = "|".join(re.escape(a) for a in sorted(abbreviations, key=lambda a: (-len(a), a)))
+    held = F.regexp_replace(F.coalesce(c, F.lit("")), rf"\b({words}|[A-Z])\.", "$1\u0002")
+    return F.transform(sentences(held), lambda s: F.replace(s, F.lit("\u0002"), F.lit(".")))
+
+
 def word_tokens(c: Column) -> Column:
     """Lower-case word tokens."""
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(f"({WORD_CHARS})"), 1)

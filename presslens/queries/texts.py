@@ -56,6 +56,19 @@ def sentence_rows(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sent_id", "s")).select("doc_id", "sent_id", F.md5(F.col("s").cast("binary")).alias("digest"))
 
 
+def _held(sql: str) -> str:
+    words = "|".join(a.replace(".", r"\.") for a in sorted(T.ABBREVIATIONS, key=lambda a: (-len(a), a)))
+    return rf"regexp_replace({sql}, '\b({words}|[A-Z])\.', '\1' || chr(2), 'g')"
+
+
+@query("txt04_careful_sentences", f"WITH {sentences_sql(_held(chr(39) + 'Dr. X. Orre vs. St. Orre: ' + chr(39) + ' || coalesce(text, ' + chr(39) * 2 + ')'))} SELECT doc_id, sent_id, md5(replace(sentence, chr(2), '.')) AS digest FROM sentences")
+def careful_sentences(spark, d):
+    """TXT04, over all texts with abbreviations put before them."""
+    text = F.concat(F.lit("Dr. X. Orre vs. St. Orre: "), F.coalesce("text", F.lit("")))
+    x = table(spark, d, "documents").select("doc_id", F.posexplode(T.careful_sentences(text)).alias("sent_id", "s"))
+    return x.select("doc_id", "sent_id", F.md5(F.col("s").cast("binary")).alias("digest"))
+
+
 @query("txt01_squeeze", r"SELECT page_id, md5(trim(regexp_replace(replace(html, chr(160), ' '), '\s+', ' ', 'g'))) AS digest FROM pages")
 def squeeze(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(T.squeeze(F.col("html")).cast("binary")).alias("digest"))
