@@ -137,7 +137,29 @@ def tagged_sentences(df: DataFrame, text: str = "tagged_text") -> DataFrame:
 
 def extract(tagged: DataFrame, gazetteer: DataFrame, text: str = "tagged_text", keep: list[str] | None = None, distinct: bool = False, name: str = "name_final", gender: str = "gender") -> DataFrame:
     """A row for each tag in each sentence (each different one with distinct): sentence, mp, gender and the columns to keep. Tags that nobody has go; of people with one tag the last by name wins. Blank genders are null."""
-    people = gazetteer.groupBy(F.regexp_replace(tag_of(F.col(name)), "[<>]", "").alias("_tag")).agg(F.max(F.struct(F.col(name).alias("mp"), F.nullif(F.trim(F.col(gender)), F.lit("")).alias("gender"))).alias("_p"))
+    people = _by_tag(gazetteer, name, gender)
     found = tags(F.col("sentence"))
     s = tagged_sentences(tagged, text).select(*(keep or []), "sent_id", "sentence", F.explode(F.array_distinct(found) if distinct else found).alias("_tag"))
     return s.join(people, "_tag").select(*(keep or []), "sent_id", "sentence", "_p.mp", "_p.gender")
+
+
+def _by_tag(gazetteer: DataFrame, name: str, gender: str) -> DataFrame:
+    person = F.struct(F.col(name).alias("mp"), F.nullif(F.trim(F.col(gender)), F.lit("")).alias("gender"))
+    return gazetteer.groupBy(F.regexp_replace(tag_of(F.col(name)), "[<>]", "").alias("_tag")).agg(F.max(person).alias("_p"))
+
+
+def mention_windows(tagged: DataFrame, gazetteer: DataFrame, width: int = 1, text: str = "tagged_text", keep: list[str] | None = None, name: str = "name_final", gender: str = "gender") -> DataFrame:
+    """(keep, person, lo, hi, snippet): the windows of sentences around each sentence that mentions a person, clipped at the ends; a window counts once for a person and text.
+
+    Windows are cut inside the text's own row: no sentence is shuffled to meet its neighbours. Only in texts of at most 2 width + 1 sentences can two windows be the same, so only there are they compared.
+    """
+    s = tagged.select(*(keep or []), sentences(F.col(text)).alias("_s"))
+    n, lit = F.size("_s"), F.lit
+    lo, hi = lambda i: F.greatest(i - width, lit(0)), lambda i: F.least(i + width, n - 1)
+    found = F.transform("_s", lambda x, i: F.struct(lo(i).alias("lo"), hi(i).alias("hi"), F.array_distinct(tags(x)).alias("t")))
+    found = F.filter(found, lambda w: F.size(w["t"]) > 0)
+    pairs = F.flatten(F.transform(found, lambda w: F.transform(w["t"], lambda t: F.struct(w["lo"].alias("lo"), w["hi"].alias("hi"), t.alias("t")))))
+    pairs = F.when(n <= 2 * width + 1, F.array_distinct(pairs)).otherwise(pairs)
+    whole = F.transform(pairs, lambda w: F.struct(w["lo"].alias("lo"), w["hi"].alias("hi"), w["t"].alias("t"), F.array_join(F.slice("_s", w["lo"] + 1, w["hi"] - w["lo"] + 1), " ").alias("snippet")))
+    rows = s.select(*(keep or []), F.explode(whole).alias("w"))
+    return rows.join(_by_tag(gazetteer, name, gender), F.col("w.t") == F.col("_tag")).select(*(keep or []), F.col("_p.mp").alias("person"), "w.lo", "w.hi", "w.snippet")

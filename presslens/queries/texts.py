@@ -171,10 +171,8 @@ SNIPPETS_SQL = f"""WITH {MENTIONS_SQL},
 @query("win09_sentence_windows", f"{SNIPPETS_SQL} SELECT doc_id, person, lo, hi, CAST(row_number() OVER (PARTITION BY doc_id, person ORDER BY lo, hi) AS INTEGER) AS snippet_index, md5(snippet) AS digest FROM snippets")
 def sentence_windows(spark, d):
     """WIN09, WIN10, JON17."""
-    t = _tagged(spark, d)
-    s = mentions.tagged_sentences(t).select("doc_id", "sent_id", F.col("sentence").alias("text"))
-    hits = mentions.extract(t, _gazetteer(spark), keep=["doc_id"]).withColumnRenamed("mp", "person")
-    out = J.numbered(J.windows(s, hits, 1), ["doc_id", "person"], ["lo", "hi"], "snippet_index")
+    w = mentions.mention_windows(_tagged(spark, d), _gazetteer(spark), 1, keep=["doc_id"])
+    out = J.numbered(w, ["doc_id", "person"], ["lo", "hi"], "snippet_index")
     return out.select("doc_id", "person", "lo", "hi", "snippet_index", F.md5(F.col("snippet").cast("binary")).alias("digest"))
 
 
