@@ -243,6 +243,18 @@ def entity_words(spark, d):
     return frames.entity_words(tokens, people, constant(spark, MORAL_DICTIONARY, "word, category"))
 
 
+IN_SENTENCES = [(0, 0, 0, "S{s}0. "), (0, 4, 0, "S{s}0. "), (0, 10, 1, "S{s}1."), (0, 15, 1, "S{s}1."), (1, 29, 2, "T{s}2."), (1, 40, None, None)]
+STARTS = [(c, at) for c, at, _, _ in IN_SENTENCES]
+
+
+@query("jon15_sentence_of", f"""WITH {spread_sql("x", [(c, at, i, t.strip() if t else None) for c, at, i, t in IN_SENTENCES], "char_start, sent_id, sentence", "int, int, string", **EVENTS)} SELECT event_id AS doc_id, char_start, sent_id FROM x WHERE sent_id IS NOT NULL""")
+def sentence_of(spark, d):
+    """JON15: tokens by the sentence that holds their first character; a token outside all has none and goes."""
+    s = spread(spark, d, [(c, i, a, b + 1) for c, i, _, a, b in SENTS], "sent_id, char_start, char_end", "int, int, int", **EVENTS).withColumnRenamed("event_id", "doc_id")
+    t = spread(spark, d, STARTS, "char_start", "int", **EVENTS).withColumnRenamed("event_id", "doc_id")
+    return J.sentence_of(t, s).select("doc_id", "char_start", "sent_id")
+
+
 @query("agg26_topic_info", "SELECT source AS topic_id, count(*) AS n FROM documents GROUP BY source")
 def topic_info(spark, d):
     return table(spark, d, "documents").groupBy(F.col("source").alias("topic_id")).agg(F.count(F.lit(1)).alias("n"))
@@ -395,13 +407,6 @@ def stream_windows(spark, d):
     return x.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-@query("str04_stream_scoring", "SELECT event_id FROM events WHERE value > 20")
-def stream_scoring(spark, d):
-    from presslens.streaming import streams
-
-    return streams.drain(streams.score_stream(_stream(spark, d), lambda df: df.where("value > 20").select("event_id")))
-
-
 @query("str02_first_seen", "SELECT count(DISTINCT user_id) AS users FROM events")
 def stream_first_seen(spark, d):
     from presslens.streaming import streams

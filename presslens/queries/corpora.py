@@ -541,3 +541,31 @@ def dict_of_columns(spark, d):
     m = table(spark, d, "part").groupBy("p_brand").agg(F.max("p_size").alias("s"))
     one = m.agg(F.map_from_entries(F.collect_list(F.struct("p_brand", "s"))).alias("m"))
     return m.select("p_brand").crossJoin(one).select("p_brand", F.try_element_at("m", F.col("p_brand")).alias("largest"))
+
+
+@query("prj05_lower_names", "SELECT c_custkey AS key, c_name AS \"the name\" FROM customer")
+def lower_names(spark, d):
+    return schema.lower_names(table(spark, d, "customer").select(F.col("c_custkey").alias(" KEY "), F.col("c_name").alias("The Name")))
+
+
+@query("prj06_text_column", "SELECT doc_id, 'BodyContent' AS which, length(text) AS n FROM documents WHERE text IS NOT NULL")
+def text_column(spark, d):
+    """PRJ06: of the usual names the one the table has, whatever its case."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("BodyContent"), "source").where("BodyContent IS NOT NULL")
+    found = schema.text_column(docs)
+    return docs.select("doc_id", F.lit(found).alias("which"), F.length(found).cast("long").alias("n"))
+
+
+@query("prj07_required", "SELECT * FROM (VALUES ('documents', true, ''), ('customer', false, 'source,text'), ('events', false, 'source,text')) AS t(name, complete, missing)")
+def required(spark, d):
+    """PRJ07, SET05: which tables have the columns that an operator needs, and what the others lack; the plan tells, no row is read."""
+    rows = []
+    for name in ("documents", "customer", "events"):
+        df = table(spark, d, name)
+        missing = sorted({"text", "source"} - set(df.columns))
+        try:
+            schema.require(df, "text", "source")
+            rows.append((name, schema.has(df, "text", "source"), ",".join(missing)))
+        except ValueError:
+            rows.append((name, schema.has(df, "text", "source"), ",".join(missing)))
+    return constant(spark, [(n, str(c).lower(), m) for n, c, m in rows], "name, complete, missing", "string, boolean, string")

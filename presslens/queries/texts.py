@@ -143,6 +143,22 @@ def sentence_passives(spark, d):
     return x.select("doc_id", "sent_id", frames.passive_count(F.col("sentence")).cast("long").alias("n")).where("n > 0")
 
 
+DOCUMENT_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+@query("str04_stream_scoring", f"WITH {MENTIONS_SQL} SELECT doc_id, sent_id, mp, gender, md5(sentence) AS digest, CAST(len(regexp_extract_all(sentence, $re${frames.PASSIVE}$re$)) AS BIGINT) AS passives FROM mentioned")
+def stream_scoring(spark, d):
+    """STR04: texts that arrive are tagged, cut into the sentences that mention people, and scored, by the functions that tables use."""
+    from presslens.streaming import streams
+
+    def score(df):
+        tagged = df.withColumn("tagged_text", mentions.tag_names(F.coalesce("text", F.lit("")), NAMES))
+        x = mentions.extract(tagged, _gazetteer(spark), keep=["doc_id"])
+        return x.select("doc_id", "sent_id", "mp", "gender", F.md5(F.col("sentence").cast("binary")).alias("digest"), frames.passive_count(F.col("sentence")).cast("long").alias("passives"))
+
+    return streams.drain(streams.score_stream(streams.read_stream(spark, f"{d}/documents*.parquet", DOCUMENT_SCHEMA), score))
+
+
 @query("dom04_person_sentences", f"WITH {MENTIONS_SQL} SELECT doc_id, sent_id, mp, gender, md5(sentence) AS digest FROM mentioned")
 def person_sentences(spark, d):
     """DOM04, TXT09, JON03."""
