@@ -10,6 +10,7 @@ from presslens.functions.text import sentences, strip_fragment, word_tokens
 from presslens.functions.values import any_timestamp, iso, stamp
 from presslens.operators.aggregates import agreement, breakdown, cap_sweep, describe, group_count, term_totals
 from presslens.operators.dedupe import keep_first
+from presslens.operators.density import density_clusters
 from presslens.operators.filters import year_or_fallback
 from presslens.operators.joins import compare, count_names, few
 from presslens.operators.sampling import cap, sample
@@ -83,6 +84,23 @@ def nearest_topic(vectors: DataFrame, centroids: DataFrame, key: str, vector: st
     return best.select(key, topic.alias("topic_id"), F.col("b.distance").alias("distance"))
 
 
+def density_topics(vectors: DataFrame, key: str, vector: str, eps: float, least: int = 10, dims: int = 5) -> DataFrame:
+    """(key, topic_id): topics as dense regions of the vectors reduced to a few dimensions, numbered from 0 by size, then smallest key; -1 is the outlier."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    v = vectors.where(F.col(vector).isNotNull()).select(key, array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("_v"))
+    reduced = PCA(k=dims, inputCol="_v", outputCol="_r").fit(v).transform(v).select(key, vector_to_array("_r").alias("r"))
+    return numbered_topics(density_clusters(reduced, key, "r", dims, eps, least), key)
+
+
+def numbered_topics(found: DataFrame, key: str) -> DataFrame:
+    """(key, topic_id) of clusters: the largest is 0, -1 stands for none."""
+    sizes = found.where("cluster IS NOT NULL").groupBy("cluster").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = sizes.withColumn("topic_id", (F.row_number().over(Window.orderBy(F.col("_n").desc(), "cluster")) - 1).cast("int")).drop("_n")
+    return found.join(ranked, "cluster", "left").select(key, F.coalesce("topic_id", F.lit(-1)).alias("topic_id"))
+
+
 def fit_topics(vectors: DataFrame, vector: str, k: int = 10, dims: int = 5, seed: int = 42) -> DataFrame:
     """vectors with topic_id: reduced to a few dimensions and clustered, both distributed."""
     from pyspark.ml.clustering import KMeans

@@ -423,6 +423,24 @@ def nearest_topic(spark, d):
     return x.select("vec_id", "topic_id", F.round("distance", 6).alias("distance"))
 
 
+@query("dom20_density_topics", """
+    WITH RECURSIVE p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings WHERE embedding IS NOT NULL),
+    near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM p a JOIN p b ON sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.02),
+    core AS (SELECT a FROM near GROUP BY a HAVING count(*) >= 4),
+    links AS (SELECT n.a, n.b FROM near n WHERE n.a IN (SELECT a FROM core) AND n.b IN (SELECT a FROM core)),
+    reach AS (SELECT a AS node, a AS root FROM core UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node),
+    rooted AS (SELECT node, min(root) AS cluster FROM reach GROUP BY node),
+    found AS (SELECT node AS vec_id, cluster FROM rooted UNION ALL SELECT n.a, min(r.cluster) FROM near n JOIN rooted r ON n.b = r.node WHERE n.a NOT IN (SELECT a FROM core) GROUP BY n.a),
+    ranked AS (SELECT cluster, CAST(row_number() OVER (ORDER BY count(*) DESC, cluster) - 1 AS INTEGER) AS topic_id FROM found GROUP BY cluster)
+    SELECT vec_id, coalesce(topic_id, -1) AS topic_id FROM p LEFT JOIN found USING (vec_id) LEFT JOIN ranked USING (cluster)""")
+def density_topics(spark, d):
+    """DOM20 with outliers, TOP03: over two dimensions of the vectors, which SQL can follow; density_topics() reduces them first."""
+    from presslens.operators.density import density_clusters
+
+    e = table(spark, d, "embeddings").where("embedding IS NOT NULL").select("vec_id", F.slice("embedding", 1, 2).alias("v"))
+    return corpus_views.numbered_topics(density_clusters(e, "vec_id", "v", 2, 0.02, 4), "vec_id")
+
+
 @query("dom20_fit_topics")
 def fit_topics(spark, d):
     return corpus_views.fit_topics(table(spark, d, "embeddings"), "embedding").select("vec_id", "topic_id")

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
@@ -39,11 +39,25 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(shutil.make_archive(f"{at}/presslens", "zip", ROOT, "presslens"))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; only on one machine, where it may be unset, in a folder of our own."""
-    at = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session names it in spark.checkpoint.dir. Only on one machine, as in tests, it may be unset; a folder of our own is used then."""
+    sc = spark.sparkContext
+    at = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="presslens-")
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(at)
+    return at
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the shared folder: later reads survive the loss of any executor."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -367,3 +367,24 @@ def test_tag_command(spark, tmp_path):
     assert got == {"a_b": "<boris_johnson>, twice\n<boris_johnson>", "c": "none"}
     with pytest.raises(SystemExit):
         tag.main(["--people", "x"], spark)
+
+
+def test_density_clusters(spark):
+    import random
+
+    from presslens.operators.density import density_clusters
+    from presslens.plans import corpus_views
+
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(c, 0.3), rng.gauss(-c, 0.3), rng.gauss(0, 0.3)]) for i, c in enumerate([0] * 40 + [5] * 30)] + [(90, [50.0, 0.0, 0.0]), (91, None), (92, [1.0]), (93, [float("nan")] * 3)]
+    d = spark.createDataFrame(rows, "id long, v array<double>")
+    near = {i: [j for j, w in rows if w and len(w) == 3 and sum((x - y) ** 2 for x, y in zip(v, w)) ** 0.5 <= 0.5] for i, v in rows if v and len(v) == 3}
+    core = {i for i, x in near.items() if len(x) >= 5}
+    root = {i: i for i in core}
+    for _ in rows:
+        for i in core:
+            root[i] = min(root[j] for j in near[i] if j in core)
+    want = {i: root[i] if i in core else min((root[j] for j in near.get(i, []) if j in core), default=None) for i, _ in rows}
+    assert {r.id: r.cluster for r in density_clusters(d, "id", "v", 3, 0.5, 5).collect()} == want and len(set(want.values())) >= 3
+    t = {r.id: r.topic_id for r in corpus_views.density_topics(d.where("id < 91"), "id", "v", 0.7, 5, 2).collect()}
+    assert t[90] == -1 and set(t.values()) >= {-1, 0, 1}
