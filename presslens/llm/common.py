@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from presslens.session import shared_dir
+
 #: Words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,19 +19,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 _made: dict[str, list[str]] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session names it in spark.checkpoint.dir. Only on one machine, as in tests, it may be unset; a folder of our own is used then."""
-    sc = spark.sparkContext
-    at = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        at = tempfile.mkdtemp(prefix="presslens-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(at)
-    return at
-
-
 def set_aside(docs: DataFrame, *new: str) -> tuple[DataFrame, dict[str, str]]:
     """docs with its columns renamed c0, c1, ... so that every other name is free, and {name: cN} of the columns to give back: all but those named as in new, whatever the case."""
     out = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
@@ -79,14 +67,8 @@ def clean(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared folder: later reads survive the loss of any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
-    """df as cut() gives it, but as a compressed table: smaller, and readers take only the columns they need."""
+    """df, computed once and written to the shared folder as a compressed table: later reads survive the loss of any executor, and take only the columns they need."""
     at = folder(df.sparkSession, "table")
     df.write.option("compression", "zstd").parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)

@@ -11,8 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from presslens.llm.common import cut, few, given_back, renamed, set_aside, slices, split_hot, stored
-from presslens.llm.components import connected_components
+from presslens.llm.common import few, given_back, renamed, set_aside, slices, split_hot, stored
+from presslens.operators.components import connected_components
+from presslens.session import checkpointed
 
 BITS = 64
 #: Rows that a task compares: they are few bytes but take long, so their number decides on tasks, not their size.
@@ -222,8 +223,8 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, seed: int = 42
     Fingerprints link at ``radius`` or fewer differing bits. Null and empty texts have fingerprint zero, linked like any other. Rows
     without a doc_id take part and get the smallest doc_id of their group, null if none has one. Other columns of docs are ignored.
     """
-    own = cut(fingerprints(docs, k, seed, id_col, text_col))
-    classes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    own = checkpointed(fingerprints(docs, k, seed, id_col, text_col))
+    classes = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     roots = connected_components(hamming_links(classes.select("fp"), radius, refs))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))

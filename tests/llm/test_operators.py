@@ -14,7 +14,8 @@ import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
-from presslens.llm import components, decontamination, langid, line_dedup, metric_join, mixing, packing, queries, sharding, simhash, tokens, warc
+from presslens.llm import decontamination, langid, line_dedup, metric_join, mixing, packing, queries, sharding, simhash, tokens, warc
+from presslens.operators import components
 from tests.conftest import same_rows
 
 tokenizers = pytest.importorskip("tokenizers")
