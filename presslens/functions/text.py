@@ -84,7 +84,7 @@ ABBREVIATIONS = ["Mr", "Mrs", "Ms", "Dr", "Prof", "St", "Rt", "Hon", "Rev", "Sen
 def careful_sentences(c: Column, abbreviations: list[str] = ABBREVIATIONS) -> Column:
     """sentences(), but a stop after an abbreviation or a single capital letter ends none. Trained splitters learn such words; here they are a list."""
     words = "|".join(re.escape(a) for a in sorted(abbreviations, key=lambda a: (-len(a), a)))
-    held = F.regexp_replace(F.coalesce(c, F.lit("")), rf"\b({words}|[A-Z])\.", "$1\u0002")
+    held = F.regexp_replace(F.coalesce(c, F.lit("")), rf"(^|[^\p{{L}}\p{{N}}_])({words}|[A-Z])\.", "$1$2\u0002")
     return F.transform(sentences(held), lambda s: F.replace(s, F.lit("\u0002"), F.lit(".")))
 
 

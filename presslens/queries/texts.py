@@ -58,7 +58,7 @@ def sentence_rows(spark, d):
 
 def _held(sql: str) -> str:
     words = "|".join(a.replace(".", r"\.") for a in sorted(T.ABBREVIATIONS, key=lambda a: (-len(a), a)))
-    return rf"regexp_replace({sql}, '\b({words}|[A-Z])\.', '\1' || chr(2), 'g')"
+    return rf"regexp_replace({sql}, '(^|[^\p{{L}}\p{{N}}_])({words}|[A-Z])\.', '\1\2' || chr(2), 'g')"
 
 
 @query("txt04_careful_sentences", f"WITH {sentences_sql(_held(chr(39) + 'Dr. X. Orre vs. St. Orre: ' + chr(39) + ' || coalesce(text, ' + chr(39) * 2 + ')'))} SELECT doc_id, sent_id, md5(replace(sentence, chr(2), '.')) AS digest FROM sentences")
