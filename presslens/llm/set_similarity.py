@@ -1,4 +1,4 @@
-"""SimHash near-duplicates at a wide radius, confirmed by the exact similarity of sets of word shingles (operator 10 as the pipeline's stage uses it)."""
+"""SimHash near-duplicates at a wide radius, verified through tables of distances to reference fingerprints and by the exact similarity of sets of word shingles (operator 10 as the pipeline's stage uses it)."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from presslens.llm.common import few, slices, stored
-from presslens.llm.simhash import fingerprint_of, shingle_hashes
+from presslens.llm.simhash import fingerprint_of, references, shingle_hashes
 from presslens.operators.components import connected_components
 
 #: About so many documents tell which shingles are frequent. The order of shingles only decides how much work there is: any order finds every pair.
@@ -110,6 +110,21 @@ def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield np.concatenate(kept)
 
 
+def distance_tables(fp: np.ndarray, refs: np.ndarray) -> np.ndarray:
+    """table[r, x, b]: in how many bits of byte b fingerprint x differs from reference r."""
+    x = refs[:, None] ^ np.ascontiguousarray(fp).view(np.uint64)[None, :]
+    return np.bitwise_count(x.view(np.uint8).reshape(*x.shape, 8)).view(np.int8)
+
+
+def undiscarded(x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
+    """Which rows of two tables can be of fingerprints within the radius.
+
+    In each byte a pair differs in at least as many bits as its two distances to any reference do. So the greatest of these differences, added up over the bytes, never exceeds the distance of the pair. Distances of whole fingerprints
+    discard nothing at a wide radius: nearly all lie within 32 +- 8.
+    """
+    return np.abs(x - y).max(axis=0).sum(axis=1) <= radius
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(token, sig, n, at) for the tokens that different sets hold, each set once. Rows come as (token, sig, n and at in one number)."""
     out: list[np.ndarray] = []
@@ -130,8 +145,23 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield emit()
 
 
-def _apart(least: float, radius: int):
-    """From (token, root, sig, n, at, fp), sorted by token: the pairs (a, b) of sets of a token that have different roots, near fingerprints, and can be so similar if this is the first shingle they share."""
+def _near(radius: int, refs: np.ndarray):
+    """From (a, b, fp_a, fp_b): the pairs (a, b) that the tables don't discard and whose fingerprints are within the radius."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 4096):
+            x, y = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for i in (2, 3))
+            near = np.flatnonzero(undiscarded(distance_tables(x, refs), distance_tables(y, refs), radius))
+            yield b.select([0, 1]).take(pa.array(near[np.bitwise_count(x[near] ^ y[near]) <= radius]))
+
+    return run
+
+
+def _apart(least: float, radius: int, refs: np.ndarray):
+    """From (token, root, sig, n, at, fp), sorted by token: the pairs (a, b) of sets of a token that have different roots, near fingerprints, and can be so similar if this is the first shingle they share.
+
+    Pairs that could be so similar go through the tables; of those that aren't discarded the fingerprints are compared.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[tuple[int, int]] = set()
@@ -145,11 +175,16 @@ def _apart(least: float, radius: int):
         for g in sorted_groups(batches):
             g = g[np.argsort(g[:, 1], kind="stable")]
             left, fp = g[:, 3] - g[:, 4], np.ascontiguousarray(g[:, 5]).view(np.uint64)
+            table = distance_tables(fp, refs)
             ends = np.searchsorted(g[:, 1], g[:, 1], side="right")
             for i, end in enumerate(ends.tolist()):
-                fits = np.minimum(left[end:], left[i]) >= least / (1 + least) * (g[end:, 3] + g[i, 3]) - 1e-9
+                near = end + np.flatnonzero(np.minimum(left[end:], left[i]) >= least / (1 + least) * (g[end:, 3] + g[i, 3]) - 1e-9)
+                if not len(near):
+                    continue
+                near = near[undiscarded(table[:, near], table[:, i : i + 1], radius)]
+                near = near[np.bitwise_count(fp[near] ^ fp[i]) <= radius]
                 x = int(g[i, 2])
-                for y in g[end:, 2][fits & (np.bitwise_count(fp[end:] ^ fp[i]) <= radius)].tolist():
+                for y in g[near, 2].tolist():
                     pair = (x, y) if x < y else (y, x)
                     if pair not in given:
                         given.add(pair)
@@ -200,10 +235,10 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, least:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def similar_links(own: DataFrame, reps: DataFrame, docs: DataFrame, k: int, least: float, radius: int, seed: int) -> DataFrame:
+def similar_links(own: DataFrame, reps: DataFrame, docs: DataFrame, k: int, least: float, radius: int, seed: int, refs: int = 16) -> DataFrame:
     """(a, b): links between different sets (column sig of own) that join all that are linked by pairs at least so similar.
 
-    Sets meet under the shingles of their prefixes; pairs whose fingerprints differ in more than the radius are discarded, the others verified. While groups are large, their members are tried with a few of them; only sets that are
+    Sets meet under the shingles of their prefixes; the tables of distances to the references discard pairs whose fingerprints can't be within the radius, the fingerprints of the others are compared, and what is left is verified. While groups are large, their members are tried with a few of them; only sets that are
     still in different components are then tried in pairs, so that a large group of near copies costs about its size and no link that matters is left out.
     """
     spread = own.select(F.posexplode("prefix").alias("at", "token"), "sig", "n").select("token", "sig", (F.shiftleft("n", PLACE) + F.col("at")).alias("n_at"))
@@ -213,10 +248,10 @@ def similar_links(own: DataFrame, reps: DataFrame, docs: DataFrame, k: int, leas
     links = shared.select(F.col("sig").alias("a"), F.col("sig").alias("b")).limit(0)
     tried, pending = links, shared.withColumn("root", F.col("sig"))
 
-    def near(a: str, b: str) -> Column:
+    def enough(a: str, b: str) -> Column:
         # what is left of either set from the shingle on has to be enough: so it is at the first one that a similar pair shares
         left, both = F.least(F.col(f"n{a}") - F.col(f"at{a}"), F.col(f"n{b}") - F.col(f"at{b}")), F.col(f"n{a}") + F.col(f"n{b}")
-        return (left >= F.lit(least / (1 + least)) * both - 1e-9) & (F.bit_count(F.col(f"fp{a}").bitwiseXOR(F.col(f"fp{b}"))) <= radius)
+        return left >= F.lit(least / (1 + least)) * both - 1e-9
 
     # the text that others are copies of has more shingles in common with them than a copy, which has some of its own: it leads
     common = shared.groupBy("token").agg(F.count(F.lit(1)).alias("n_token"))
@@ -227,7 +262,8 @@ def similar_links(own: DataFrame, reps: DataFrame, docs: DataFrame, k: int, leas
             break
         order = Window.partitionBy("token").orderBy(F.col("weight").desc(), "sig")  # one order for all groups, so that groups that overlap have the same first members
         lead = pending.withColumn("_row", F.row_number().over(order)).where(F.col("_row") <= most).select("token", F.col("sig").alias("lead"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("fp").alias("fp_b"), F.col("root").alias("root_b"))
-        pairs = pending.join(lead, "token").where("root != root_b").where(near("", "_b")).select(F.least("sig", "lead").alias("a"), F.greatest("sig", "lead").alias("b")).distinct()
+        pairs = pending.join(lead, "token").where("root != root_b").where(enough("", "_b")).select(F.least("sig", "lead").alias("a"), F.greatest("sig", "lead").alias("b"), "fp", "fp_b")
+        pairs = pairs.mapInArrow(_near(radius, references(refs)), "a long, b long").distinct()
         pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"))
         links = stored(links.unionByName(verified(pairs, reps, docs, k, least, seed)))
         tried = tried.unionByName(pairs)
@@ -236,21 +272,21 @@ def similar_links(own: DataFrame, reps: DataFrame, docs: DataFrame, k: int, leas
         apart = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
         pending = stored(rooted.join(apart, "token", "left_semi"))
     spread = pending.select("token", "root", "sig", "n", "at", "fp").repartition("token").sortWithinPartitions("token")
-    pairs = spread.mapInArrow(_apart(least, radius), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+    pairs = spread.mapInArrow(_apart(least, radius, references(refs)), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
     return links.unionByName(verified(pairs, reps, docs, k, least, seed))
 
 
-def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 24, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 24, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", refs: int = 16) -> DataFrame:
     """(doc_id, component_id) for every row of docs; component_id is the smallest doc_id reachable by links, its own included.
 
     Texts link if their fingerprints (SimHash of the set of k-word shingles) differ in at most ``radius`` bits and the Jaccard similarity of these sets is at least ``similarity``; shingles are those of op10's fingerprints. At a similarity
-    of 0.8 fingerprints differ in about ten bits with a deviation of three, in a few more where sets are very small: the radius is four deviations beyond. Texts without words link with each other. Rows without a doc_id
+    of 0.8 fingerprints differ in about ten bits with a deviation of three, in a few more where sets are very small: the radius is four deviations beyond. Pairs are tried through tables of distances to ``refs`` reference fingerprints, which lose none. Texts without words link with each other. Rows without a doc_id
     take part and get the smallest doc_id of their group, null if none has one; rows that repeat are one node; other columns are ignored; an empty table gives an empty one.
     """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     own = stored(signatures(named, k, similarity, seed))
     reps = stored(own.groupBy("sig").agg(F.min("doc_id").alias("rep")))
-    roots = connected_components(similar_links(own, reps, named, k, similarity, radius, seed))
+    roots = connected_components(similar_links(own, reps, named, k, similarity, radius, seed, refs))
     rooted = stored(reps.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")))
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     return own.select("doc_id", "sig").join(rooted.join(smallest, "root").select("sig", "component_id"), "sig").select("doc_id", "component_id")
