@@ -96,8 +96,12 @@ def read_paragraphs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", "\n\n").text(path).select(F.trim(F.regexp_replace("value", r"\s*\n+\s*", " ")).alias("text")).where("text <> ''")
 
 
+#: How CSV is written: doubled quotes, and white space at a field's ends as it is, which Spark's writer would strip.
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_csv(df: DataFrame, path: str, one_file: bool = False, quote_all: bool = False, mode: str = "overwrite") -> None:
-    (df.coalesce(1) if one_file else df).write.mode(mode).option("header", True).option("quoteAll", quote_all).option("escape", '"').csv(path)
+    (df.coalesce(1) if one_file else df).write.mode(mode).options(**CSV).option("quoteAll", quote_all).csv(path)
 
 
 def write_by_suffix(df: DataFrame, path: str) -> None:
@@ -117,7 +121,7 @@ def write_topics(df: DataFrame, path: str, topic: str = "topic") -> None:
 def write_topic_files(df: DataFrame, path: str, topic: str = "topic") -> None:
     """One CSV file for each topic, named by it, as read_topics() reads them. A topic is one task's work: its file is one. Files are renamed when all are written, which takes their names alone."""
     spark, folder = df.sparkSession, file_safe(F.col(topic))
-    df.withColumn("_folder", folder).repartition("_folder").drop(topic).write.mode("overwrite").partitionBy("_folder").option("header", True).option("escape", '"').csv(path)
+    df.withColumn("_folder", folder).repartition("_folder").drop(topic).write.mode("overwrite").partitionBy("_folder").options(**CSV).csv(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for folder in fs.listStatus(at):
