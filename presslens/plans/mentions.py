@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +16,8 @@ CAPITALS = re.compile(r"\b[A-Z][\w'’-]+(?:\s+[A-Z][\w'’-]+)*")
 WORD = re.compile(r"\w+")
 #: So many names at most are compiled into the workers' patterns; a gazetteer is far smaller.
 MOST_NAMES = 200_000
+#: A worker tags so many texts, or characters, before it gives them back; it remembers the nearest name of so many.
+SLICE_ROWS, SLICE_CHARS, REMEMBERED = 1_000, 1_000_000, 65_536
 
 
 class Tagger:
@@ -28,6 +30,11 @@ class Tagger:
         for i, n in enumerate(several):
             self.by_word.setdefault(next(iter(WORD.findall(n.lower())), ""), []).append((i, re.compile(rf"\b{re.escape(n)}\b", re.IGNORECASE), names[n]))
         self.gated, self.people, self.gate, self.fuzzy = gated, people or CAPITALS.findall, gate, fuzzy
+        self.nearest: dict[str, str | None] = {}
+        self.by_length: dict[int, list[tuple[str, str]]] = {}
+        for n in sorted(n for n in names if " " in n) if fuzzy is not None else ():
+            words = _sorted_words(n)
+            self.by_length.setdefault(len(words), []).append((words, n))
 
     def __call__(self, text: str | None) -> str:
         if text is None or not text.strip():
@@ -55,24 +62,58 @@ class Tagger:
         return out
 
     def _nearest(self, name: str) -> str | None:
-        if name.lower() in self.names:  # whole names are tagged by now, and a lone word only where its person was found
+        """The tag of the most alike name of several words that reaches the threshold; of equals the first by name. Names recur, so answers are kept."""
+        name = name.lower()
+        if name not in self.nearest:
+            if len(self.nearest) >= REMEMBERED:
+                self.nearest.clear()
+            self.nearest[name] = self._compared(name)
+        return self.nearest[name]
+
+    def _compared(self, name: str) -> str | None:
+        if name in self.names:  # whole names are tagged by now, and a lone word only where its person was found
             return None
-        scored = ((sort_ratio(name.lower(), n), n) for n in self.names if " " in n)
-        best = max(scored, key=lambda x: x[0], default=(0.0, ""))
+        words = _sorted_words(name)
+        places, best = _places(words), (-1.0, "")
+        for m, known in self.by_length.items():
+            # no more than the shorter one can be common
+            if 200.0 * min(len(words), m) < self.fuzzy * (len(words) + m):
+                continue
+            for other, n in known:
+                score = _ratio(places, len(words), other)
+                if score > best[0] or score == best[0] and n < best[1]:
+                    best = (score, n)
         return self.names[best[1]] if best[0] >= self.fuzzy else None
 
 
+def _sorted_words(name: str) -> str:
+    return " ".join(sorted(name.split()))
+
+
+def _places(a: str) -> dict[str, int]:
+    """For each character the bits of its places in a."""
+    out: dict[str, int] = {}
+    for i, x in enumerate(a):
+        out[x] = out.get(x, 0) | 1 << i
+    return out
+
+
+def _ratio(places: dict[str, int], n: int, b: str) -> float:
+    """Twice the longest common subsequence of a (its places, its length) and b over both lengths, times 100; a row of the usual table at once, as bits."""
+    if not n and not b:
+        return 100.0
+    every = (1 << n) - 1
+    row = every
+    for y in b:
+        met = row & places.get(y, 0)
+        row = ((row + met) | (row - met)) & every
+    return 200.0 * (n - row.bit_count()) / (n + len(b))
+
+
 def sort_ratio(a: str, b: str) -> float:
     """0 to 100: twice the longest common subsequence of the sorted words over both lengths."""
-    a, b = " ".join(sorted(a.split())), " ".join(sorted(b.split()))
-    if not a and not b:
-        return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
+    a = _sorted_words(a)
+    return _ratio(_places(a), len(a), _sorted_words(b))
 
 
 def resolve_pronouns(text: str, clusters: list[list[tuple[int, int]]]) -> str:
@@ -93,7 +134,7 @@ PRONOUN_FORMS = {"he", "him", "his", "himself", "she", "her", "hers", "herself",
 def tag(df: DataFrame, names: DataFrame, gated: DataFrame, text: str = "content", mode: str = "coref", coref: str | None = None, people: Callable[[str], list[str]] | None = None) -> DataFrame:
     """df with tagged_text and tag_error. mode: coref (pronouns replaced by the spans in column ``coref``, if given, then names, then gated words), ner (no pronouns, near names too) or all (every name, ungated).
 
-    Replacing is sequential within a text, so that each text is one call; the gazetteer, checked for size, goes to the workers once. A text that fails stays as it is and its error is told. Null and blank texts become "".
+    Replacing is sequential within a text, so that each text is one call, and only a slice of texts is held beside the batch that Spark sends; the gazetteer, checked for size, goes to the workers once. A text that fails stays as it is and its error is told. Null and blank texts become "".
     """
     n = {r.alias: r.tag for r in names.limit(MOST_NAMES + 1).collect()}
     if len(n) > MOST_NAMES:
@@ -103,24 +144,28 @@ def tag(df: DataFrame, names: DataFrame, gated: DataFrame, text: str = "content"
         g.setdefault(r.word, set()).add(r.tag)
     args = (n, g, people, "none" if mode == "all" else "person", 85.0 if mode == "ner" else None)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(*args)
-        for p in parts:
-            out, errors = [], []
-            for i, t in enumerate(p[text]):
-                t = None if pd.isna(t) else t
+        for b in batches:
+            texts, spans = b.column(b.schema.get_field_index(text)), b.column(b.schema.get_field_index(coref)) if coref else None
+            start, chars, out, errors = 0, 0, [], []
+            for i in range(b.num_rows):
+                t = texts[i].as_py()
                 try:
-                    spans = p[coref].iloc[i] if coref and t else None
-                    full = resolve_pronouns(t, [[(int(s["start"]), int(s["end"])) for s in c] for c in spans]) if spans is not None else t
+                    found = spans[i].as_py() if coref and t else None
+                    full = resolve_pronouns(t, [[(int(s["start"]), int(s["end"])) for s in c] for c in found]) if found is not None else t
                     out.append(tagger(full))
                     errors.append(None)
                 except Exception as e:  # noqa: BLE001  one bad text must not end the run
                     out.append(t or "")
                     errors.append(str(e))
-            yield p.assign(tagged_text=out, tag_error=errors)
+                chars += len(t or "")
+                if len(out) >= SLICE_ROWS or chars >= SLICE_CHARS or i + 1 == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([*b.slice(start, len(out)).columns, pa.array(out, pa.string()), pa.array(errors, pa.string())], names=[*b.schema.names, "tagged_text", "tag_error"])
+                    start, chars, out, errors = i + 1, 0, [], []
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInPandas(run, f"{fields}, tagged_text string, tag_error string")
+    return df.mapInArrow(run, f"{fields}, tagged_text string, tag_error string")
 
 
 def tag_names(text, names: dict[str, str]):

@@ -54,6 +54,16 @@ def _cases(rows: list[tuple]) -> int:
     return max(r[0] for r in rows) + 1
 
 
+#: Rows of a task where a row is dealt cases: a small file of many rows would be one task.
+TASK_ROWS = 25_000
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by its key to as many tasks as its rows ask for."""
+    n = df.count()
+    return df.repartition(-(-n // TASK_ROWS), key) if n > TASK_ROWS else df
+
+
 def spread(spark: SparkSession, sf_dir: str, rows: list[tuple], names: str, kinds: str, of: str = "customer", key: str = "c_custkey") -> DataFrame:
     """Fixed cases dealt over a whole table: each row of it has the rows of case key % n, the first column of rows. {s} in a text becomes a letter that the key decides."""
     from pyspark.sql import functions as F
@@ -61,7 +71,7 @@ def spread(spark: SparkSession, sf_dir: str, rows: list[tuple], names: str, kind
     t = constant(spark, rows, "case_, " + names, "int, " + kinds)
     letter = F.chr(F.lit(97) + F.col(key) % 26)
     texts = {n.strip() for n, k in zip(names.split(","), kinds.split(","), strict=True) if k.strip() == "string"}
-    own = table(spark, sf_dir, of).select(key, (F.col(key) % _cases(rows)).cast("int").alias("case_"))
+    own = dealt(table(spark, sf_dir, of).select(key), key).select(key, (F.col(key) % _cases(rows)).cast("int").alias("case_"))
     return own.join(F.broadcast(t), "case_").select(key, *[F.replace(c, F.lit("{s}"), letter).alias(c) if c in texts else F.col(c) for c in t.columns if c != "case_"])
 
 
